@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, linededup
 from .ctw import lm_scores
+from .embedjoin import embedding_components
 from .packing import packing_digest
 from .quality import quality_scores
 from .simhash import simhash_components
+from .suffix import repeats_digest
 from .tokens import token_file_digest
 from .toxicity import toxicity_scores
 
@@ -31,6 +33,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(_table(spark, sf_dir, "documents"), _tokenizer())
 
@@ -55,12 +61,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_token_files, op4_toxicity, op5_line_dedup, op6_lm_scoring, op7_packing, op8_quality, op10_decontamination)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_embedding_near_dedup, op3_token_files, op4_toxicity, op5_line_dedup, op6_lm_scoring, op7_packing, op8_quality, op9_suffix_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
