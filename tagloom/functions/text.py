@@ -33,12 +33,12 @@ def parse_list(c: Column) -> Column:
     plain = F.split(text, ",")
     found = F.when(text.startswith("["), listed).when(text.startswith("{"), mapped)
     parts = F.when(known(c).isNull(), strings()).otherwise(F.coalesce(found, plain))
-    return F.filter(F.transform(parts, F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def parse_tier(c: Column) -> Column:
     """A comma list without blank, unknown and none."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: ~F.lower(x).isin("", "unknown", "none"))
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: ~F.lower(x).isin("", "unknown", "none"))
 
 
 def gender(c: Column) -> Column:
