@@ -38,11 +38,10 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "ut
         for b in batches:
             yield pa.record_batch({"value": pa.array([x.decode(encoding) for x in b.column("value").to_pylist()])})
 
-    # a code page of single bytes leaves line feeds alone, so lines can be cut before they are decoded
-    lines = spark.read.option("encoding", "iso-8859-1").text(path).select(F.encode("value", "iso-8859-1").alias("value")).mapInArrow(decode, "value string")
+    # the text reader hands on a line's bytes as they are; a code page of single bytes leaves line feeds alone
+    lines = spark.read.text(path).select(F.col("value").cast("binary")).mapInArrow(decode, "value string")
     names = [c.strip().strip('"') for c in lines.first()["value"].split(sep)]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    parsed = F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") if all(n.isidentifier() for n in names) else ", ".join(f"`{n}` string" for n in names), {"sep": sep})
+    parsed = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": sep})
     return lines.where(F.col("value") != sep.join(names)).select(parsed.alias("r")).select("r.*")
 
 
