@@ -30,21 +30,19 @@ _BLOCK = 1 << 18
 
 def best_cuts(places: np.ndarray, penalty: np.ndarray, window: int) -> np.ndarray:
     """Indexes of the places that end a window, for places[0] = 0 to the last, gaps at most ``window``."""
+    # a window from place i to place j costs its padding, places[i] + window - places[j], and what the cut at j costs; with
+    # rank = cost so far + place, the place of j drops out: rank[j] = the least rank within reach + window + the cut's cost
     n = len(places)
-    pos, pen = places.tolist(), penalty.tolist()
-    cost, back = [0.0] * n, [0] * n
-    queue = deque([0])  # starts of rising places whose cost plus place rises
-    rank = [0.0] * n
+    pos, reach, step = places.tolist(), (places - window).tolist(), (penalty + (window + WINDOW_COST)).tolist()
+    rank, back = [0] * n, [0] * n
+    queue = deque([0])  # rising places with rising ranks
     for j in range(1, n):
-        p = pos[j]
-        while pos[queue[0]] < p - window:
+        least = reach[j]
+        while pos[queue[0]] < least:
             queue.popleft()
-        i = queue[0]
-        best = rank[i] + window - p
-        cost[j] = best = best + pen[j] + WINDOW_COST
-        back[j] = i
-        rank[j] = best = best + p
-        while queue and rank[queue[-1]] >= best:
+        back[j] = i = queue[0]
+        rank[j] = r = rank[i] + step[j]
+        while queue and rank[queue[-1]] >= r:
             queue.pop()
         queue.append(j)
     out, j = [], n - 1
@@ -136,7 +134,7 @@ def pack_documents(
             ids, names, sizes = ids[done:], names[first:], sizes[first:]
             return out
 
-        for b in text_chunks(batches, "text", 2 << 20):
+        for b in text_chunks(batches, "text", 6 << 20):
             of = b.column("shard").to_numpy()
             cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             for lo, hi in zip(cuts, [*cuts[1:], len(of)]):
