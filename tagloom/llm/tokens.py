@@ -27,7 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, shuffle_width, text_chunks
 
-_ENCODERS: dict[tuple, "UnitEncoder"] = {}
+_ENCODERS: dict[str, "UnitEncoder"] = {}
+_MARKS = frozenset(".,;:!?")
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_BETWEEN = re.compile(r"\s \s").search
+_PLAIN_UNIT = re.compile(r" \S+").fullmatch
 
 
 class UnitEncoder:
@@ -39,7 +43,7 @@ class UnitEncoder:
     tokenizers are encoded whole. Two generations of at most ``cache`` units each bound memory.
     """
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,14 +52,14 @@ class UnitEncoder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_unit = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        special = "|".join(re.escape(t["content"]) for t in spec.get("added_tokens", []))
-        self.whole = re.compile(r"\s \s" + (f"|{special}" if special else ""))
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.width = np.zeros(size, np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.width[i] = len(token)
         self.cache, self.young, self.old = cache, {}, {}
+        self.marks = dict(zip(_MARKS, self._plain(list(_MARKS)))) if self.by_unit else {}
         self.sentence_end: np.ndarray | None = None  # filled by the packer
 
     @classmethod
@@ -72,7 +76,7 @@ class UnitEncoder:
     def _encode_units(self, units: list[str]) -> list[bytes]:
         """Many units make one call; token widths in bytes tell where each unit ends."""
         out: list[bytes | None] = [None] * len(units)
-        clean = [i for i, u in enumerate(units) if len(u) > 1 and u[0] == " " and not u[1].isspace() and len(u.split()) == 1 and not u[-1].isspace()]
+        clean = [i for i, u in enumerate(units) if _PLAIN_UNIT(u)]
         size = self.dtype.itemsize
         for lo in range(0, len(clean), 1024):
             part = clean[lo : lo + 1024]
@@ -91,12 +95,23 @@ class UnitEncoder:
         return out
 
     def _look_up(self, units: list[str]) -> list[bytes]:
+        """A unit that ends in a letter and one mark is its stem and the mark, which are encoded apart anyhow."""
         young, old = self.young, self.old
         found = [young.get(u) or old.get(u) for u in units]
         missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            for i, x in zip(missing, self._encode_units([units[i] for i in missing])):
-                found[i] = young[units[i]] = x
+        if not missing:
+            return found
+        marked = {i: units[i][:-1] for i in missing if units[i][-1:] in _MARKS and units[i][-2:-1] in _LETTERS} if self.by_unit else {}
+        need = dict.fromkeys(marked.get(i, units[i]) for i in missing)
+        new = [u for u in need if u not in young and u not in old]
+        young.update(zip(new, self._encode_units(new)))
+        for i in missing:
+            u = units[i]
+            stem = marked.get(i)
+            if stem is None:
+                found[i] = young.get(u) or old.get(u, b"")
+            else:
+                found[i] = young[u] = (young.get(stem) or old.get(stem, b"")) + self.marks[u[-1]]
         if len(young) > self.cache:
             self.young, self.old = {}, young
         return found
@@ -106,7 +121,7 @@ class UnitEncoder:
         if not texts:
             return np.zeros(0, self.dtype), np.zeros(1, np.int64)
         if self.by_unit:
-            whole = [i for i, t in enumerate(texts) if self.whole.search(t)]
+            whole = [i for i, t in enumerate(texts) if _BETWEEN(t) or any(x in t for x in self.special)]
         else:
             whole = list(range(len(texts)))
         odd = dict(zip(whole, self._plain([texts[i] for i in whole])))
@@ -122,10 +137,11 @@ class UnitEncoder:
             values[len(pieces) + i] = x
         ids = np.frombuffer(b"".join(values), self.dtype)
         size = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
-        at = np.cumsum(size) - size
         of_unit = size[unit]
         ends = np.cumsum(of_unit)
-        out = ids[np.repeat(at[unit] - (ends - of_unit), of_unit) + np.arange(ends[-1])]
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        move = ((np.cumsum(size) - size)[unit] - (ends - of_unit)).astype(kind)
+        out = ids[np.repeat(move, of_unit) + np.arange(ends[-1], dtype=kind)]
         return out, np.r_[0, ends][starts].astype(np.int64)
 
 
@@ -217,7 +233,7 @@ def write_token_files(
                 total, docs_n = total + int(off[-1]), docs_n + part.num_rows
         yield from close()
 
-    done = in_id_order(docs, shards).mapInArrow(run, "shard int, docs long, ids long").orderBy("shard").collect()
+    done = sorted(in_id_order(docs, shards).mapInArrow(run, "shard int, docs long, ids long").collect())
     bases = [0, *accumulate(r.ids for r in done)]
     return [(r.shard, r.docs, r.ids, base) for r, base in zip(done, bases)]
 
