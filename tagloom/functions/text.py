@@ -144,13 +144,13 @@ def match_text(c: Column) -> Column:
 
 
 def has_phrase(text: Column, phrase: Column) -> Column:
-    """The phrase occurs between word boundaries; an empty phrase does not."""
-    return (phrase != "") & F.regexp_like(text, F.concat(F.lit(r"\b"), quoted(phrase), F.lit(r"\b")))
+    """The phrase occurs between word boundaries; an empty phrase does not. Only texts that hold it reach the pattern."""
+    return (phrase != "") & text.contains(phrase) & F.regexp_like(text, F.concat(F.lit(r"\b"), quoted(phrase), F.lit(r"\b")))
 
 
 def starts_word(term: Column, text: Column) -> Column:
     """The term begins at a word boundary of the text."""
-    return (term != "") & F.regexp_like(text, F.concat(F.lit(r"\b"), quoted(term)))
+    return (term != "") & text.contains(term) & F.regexp_like(text, F.concat(F.lit(r"\b"), quoted(term)))
 
 
 def equivalent(a: Column, b: Column) -> Column:

@@ -195,13 +195,13 @@ def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = K.session_profiles(session_events(spark, sf_dir), catalog(spark, sf_dir))
-    return p.select("session_id", "n_clicks", F.round("mean_score", 2).alias("mean_score"), F.round("mean_price", 2).alias("mean_price"), "price_band", F.array_join("top_brands", ",").alias("brands"), F.array_join("top_accords", ",").alias("accords"), F.coalesce("gender", F.lit("none")).alias("gender"), (F.length(K.profile_text()) > 0).alias("has_text"))
+    return p.select("session_id", "n_clicks", F.round(F.col("mean_score") * F.col("n_clicks"), 2).alias("sum_score"), F.round(F.col("mean_price") * F.col("n_clicks"), 1).alias("sum_price"), "price_band", F.array_join("top_brands", ",").alias("brands"), F.array_join("top_accords", ",").alias("accords"), F.coalesce("gender", F.lit("none")).alias("gender"), (F.length(K.profile_text()) > 0).alias("has_text"))
 
 
 _FAV = lambda col, name, src: f"{name} AS (SELECT session_id, string_agg(v, ',' ORDER BY r) AS {name} FROM (SELECT session_id, v, row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, min(n), v) AS r FROM (SELECT session_id, n, {col} AS v FROM {src}) WHERE v IS NOT NULL GROUP BY session_id, v) WHERE r <= {1 if name == 'gender' else 3} GROUP BY session_id)"
 PROFILE_SQL = f"""WITH {CATALOG_SQL}, {EVENTS_SQL}, k AS (SELECT f.*, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS n FROM feedback f WHERE event_type = 'click' QUALIFY n <= 50), j AS (SELECT k.*, c.brand, c.accords, c.price, c.gender AS g FROM k JOIN catalog c USING (item_id)),
 base AS (SELECT session_id, count(*) AS n_clicks, avg(coalesce(score, 0)) AS s, avg(price) AS p FROM j GROUP BY 1 HAVING count(*) >= 3), {_FAV('brand', 'brands', 'j')}, {_FAV('unnest(accords)', 'accords', 'j')}, {_FAV('g', 'gender', 'j')}
-SELECT session_id, n_clicks, round(s, 2) AS mean_score, round(p, 2) AS mean_price, CASE WHEN p < 1000 THEN 'budget' WHEN p <= 3000 THEN 'mid' ELSE 'luxury' END AS price_band, brands, accords, coalesce(gender, 'none') AS gender, true AS has_text FROM base LEFT JOIN brands USING (session_id) LEFT JOIN accords USING (session_id) LEFT JOIN gender USING (session_id)"""
+SELECT session_id, n_clicks, round(s * n_clicks, 2) AS sum_score, round(p * n_clicks, 1) AS sum_price, CASE WHEN p < 1000 THEN 'budget' WHEN p <= 3000 THEN 'mid' ELSE 'luxury' END AS price_band, brands, accords, coalesce(gender, 'none') AS gender, true AS has_text FROM base LEFT JOIN brands USING (session_id) LEFT JOIN accords USING (session_id) LEFT JOIN gender USING (session_id)"""
 
 
 def _now(events: DataFrame):
