@@ -20,7 +20,8 @@ def _list(values) -> str:
 
 
 _NORMAL = "trim(regexp_replace(regexp_replace(lower(trim(coalesce({0}, ''))), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
-_EQUIV = "({0} = {1} OR regexp_matches(CASE WHEN len({0}) <= len({1}) THEN {1} ELSE {0} END, '\\b' || regexp_escape(CASE WHEN len({0}) <= len({1}) THEN {0} ELSE {1} END) || '\\b'))"
+_LONG, _SHORT = "CASE WHEN len({0}) <= len({1}) THEN {1} ELSE {0} END", "CASE WHEN len({0}) <= len({1}) THEN {0} ELSE {1} END"
+_EQUIV = f"({{0}} = {{1}} OR CASE WHEN contains({_LONG}, {_SHORT}) THEN regexp_matches({_LONG}, '\\b' || regexp_escape({_SHORT}) || '\\b') ELSE false END)"
 _low = lambda a: f"list_transform({a}, lambda z: lower(z))"
 
 
@@ -239,17 +240,19 @@ def expanded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("request_id", F.array_join(X.scenario_terms(F.col("scenarios"), "accords", 6), ",").alias("accords"), X.expanded_query(F.col("text"), *args).alias("search"), X.expanded_query(F.col("text"), *args, alternative=True).alias("alternative"))
 
 
-# ---- scoring: every request against the items of its own customer number's neighbourhood of prices
+# ---- scoring: every customer's request against the items that the customer has ordered
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests with the items whose size is the request's residue: an equi-join, not all pairs."""
+    """Requests with the distinct items of their customer's orders: as many pairs as order lines at most."""
     items = catalog(spark, sf_dir).withColumns({"longevity": X.longevity_score(F.col("accords"), F.col("notes")), "sillage": X.sillage_score(F.col("accords"), F.col("notes"))})
-    asked = requests(spark, sf_dir).withColumnRenamed("gender", "wanted").withColumn("_k", (F.col("request_id") % 50 + 1).cast("int"))
-    return asked.join(items, (asked["_k"] == items["size"]) & (items["item_id"] % 10 == asked["request_id"] % 10)).drop("_k")
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("item_id"))
+    ordered = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("request_id")).join(lines, "o_orderkey").select("request_id", "item_id").distinct()
+    return ordered.join(requests(spark, sf_dir).withColumnRenamed("gender", "wanted"), "request_id").join(items, "item_id")
 
 
-_PAIRS = f"pairs AS (SELECT r.* EXCLUDE (gender), r.gender AS wanted, c.* FROM requests r JOIN scores c ON r.request_id % 50 + 1 = c.size AND c.item_id % 10 = r.request_id % 10)"
+_PAIRS = """pairs AS (SELECT r.* EXCLUDE (gender), r.gender AS wanted, c.* FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) o
+ JOIN requests r ON r.request_id = o_custkey JOIN scores c ON c.item_id = l_partkey)"""
 
 
 def fits(df: DataFrame) -> DataFrame:
@@ -306,10 +309,10 @@ _BASE = f"WITH {CATALOG_SQL}, {REQUESTS_SQL}, {_SCORES}, {_PAIRS}, {_FITS}, {_SC
 
 
 def blended_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("request_id", "item_id", F.round("score", 4).alias("score"), S.shown_score(F.col("score")).alias("shown"))
+    return scored(spark, sf_dir).select("request_id", "item_id", "score", S.shown_score(F.col("score")).alias("shown"))
 
 
-BLEND_SQL = f"{_BASE} SELECT request_id, item_id, round(score, 4) AS score, round(least(100.0, score), 1) AS shown FROM scored"
+BLEND_SQL = f"{_BASE} SELECT request_id, item_id, score, round(least(100.0, score), 1) AS shown FROM scored"
 
 
 def price_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
