@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import decontam, linededup, packing, quality, simhash
+from tagloom.llm import decontam, jaccard, linededup, packing, quality
 from tagloom.llm.common import shared_dir
 from tagloom.llm.entry import TOKENIZER
 
@@ -30,8 +30,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one document stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of near-duplicates (five words, Jaccard 0.8) one document stays."""
+    return jaccard.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", filter_quality),
     ("line dedup", dedup_lines),
-    ("simhash near-dedup", dedup_documents),
+    ("near-dedup", dedup_documents),
     ("benchmark decontamination", decontaminate),
     ("packing", pack),
 ]

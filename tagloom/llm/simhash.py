@@ -173,13 +173,3 @@ def simhash_components(docs: DataFrame, threshold: int = 3, shingle: int = 3, bl
     return prints.join(named, prints["fp"] == named["key"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def drop_near_duplicates(docs: DataFrame, threshold: int = 3, shingle: int = 3) -> DataFrame:
-    """Keep of each component the document with the smallest doc_id; all columns stay.
-
-    Rows that share a doc_id are one document. Rows without a doc_id stay.
-    """
-    found = simhash_components(docs, threshold, shingle)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")

@@ -1,0 +1,73 @@
+import random
+
+import pytest
+
+from tagloom.llm import jaccard
+from tagloom.llm.jaccard import drop_near_duplicates, jaccard_components
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({b" ".join(words)} if words else set())
+
+
+def plain_components(ids, texts):
+    sets = [shingles(t) for t in texts]
+    comp = list(ids)
+    link = [(i, j) for i in range(len(ids)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0]
+    while True:
+        old = list(comp)
+        for i, j in link:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+        if comp == old:
+            return dict(zip(ids, comp))
+
+
+def texts(seed):
+    rnd = random.Random(seed)
+    words = [f"W{i}é" for i in range(400)]
+    passage = [rnd.choice(words) for _ in range(60)]
+    out = [None, "", " \n", "one two", "One  TWO", "a b c d", "a b c d e"]
+    for _ in range(25):
+        w = [rnd.choice(words) for _ in range(rnd.randint(1, 150))] + (passage if rnd.random() < 0.6 else [])
+        out.append(" ".join(w))
+        for _ in range(5):
+            v = list(w)
+            for _ in range(rnd.randint(1, 4)):
+                v[rnd.randrange(len(v))] = rnd.choice(words)
+            out.append(" ".join(v))
+    return out
+
+
+@pytest.mark.parametrize("bands,block", [(4, 2048), (4, 5), (1, 5)])
+def test_components_against_brute_force(spark, monkeypatch, bands, block):
+    """Whatever the first pass finds, and however tokens are cut into cells, no pair is lost."""
+    monkeypatch.setattr(jaccard, "BANDS", bands)
+    ts = texts(bands + block)
+    ids = [3 * i + 1 for i in range(len(ts))]
+    df = spark.createDataFrame(list(zip(ids, ts)), "doc_id long, text string").repartition(3)
+    if bands == 1:
+        monkeypatch.setattr(jaccard, "_neighbours", lambda b: b.selectExpr("key as a", "key as b").limit(0))
+    got = {r.doc_id: r.component_id for r in jaccard_components(df, block=block).collect()}
+    assert got == plain_components(ids, ts)
+
+
+def test_pairs_of_far_fingerprints_go(spark):
+    """Similar texts whose 3-word fingerprints differ in more than three bits."""
+    from tagloom.llm.simhash import fingerprint
+
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(120)]
+    rows = [(1, " ".join(base))]
+    while len(rows) < 4:
+        v = list(base)
+        v[rnd.randrange(10, 110)], v[rnd.randrange(10, 110)] = "x", "y"
+        t = " ".join(v)
+        if 5 * len(shingles(t) & shingles(rows[0][1])) >= 4 * len(shingles(t) | shingles(rows[0][1])) and (fingerprint(t) ^ fingerprint(rows[0][1])).bit_count() > 3:
+            rows.append((len(rows) + 1, t))
+    rows.append((None, rows[0][1]))
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, lang string")
+    got = drop_near_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id for r in got.collect()), key=str) == [1, None]
+    assert drop_near_duplicates(df.limit(0)).count() == 0
