@@ -87,13 +87,12 @@ SELECT request_id, item_id, CAST(row_number() OVER (PARTITION BY request_id ORDE
 
 
 def candidate_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that pass a request's price, brand, audience and term filters, counted by request."""
-    r = requests(spark, sf_dir).withColumnRenamed("gender", "wanted").withColumn("_k", (F.col("request_id") % 50 + 1).cast("int"))
-    c = catalog(spark, sf_dir)
-    j = r.join(c, r["_k"] == c["size"])
-    ok = R.within_budget(F.col("price"), F.col("budget")) & R.not_the_reference(F.col("item_id"), F.col("request_id")) & R.other_house(F.col("brand"), F.concat(F.lit("brand#"), (F.col("request_id") % 25).cast("string"))) & R.gender_passes(F.col("gender"), F.col("wanted")) & R.without_terms(F.col("accords"), F.col("notes"), F.array(F.lit("oud"), F.lit("bergamot")))
+    """Items of the whole catalogue that pass a request's price, brand, audience and term filters, counted by request."""
+    r = requests(spark, sf_dir).select("request_id", "budget", F.col("gender").alias("wanted"), F.concat(F.lit("brand#"), (F.col("request_id") % 25).cast("string")).alias("house"))
+    c = catalog(spark, sf_dir).where(R.without_terms(F.col("accords"), F.col("notes"), F.array(F.lit("oud"), F.lit("bergamot"))))
+    counts = R.count_passing(r, c)
     limit = (F.col("request_id") % 100 + 1).cast("int")
-    return j.groupBy("request_id").agg(F.count_if(ok).alias("n_items")).select("request_id", "n_items", R.pool_size(limit).alias("pool"), R.fetch_size(limit).alias("fetch"))
+    return counts.select("request_id", "n_items", R.pool_size(limit).alias("pool"), R.fetch_size(limit).alias("fetch"))
 
 
 PREDICATE_SQL = f"""WITH {CATALOG_SQL}, j AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 3 > 0 THEN 900 + c_custkey % 100 END AS budget, CASE c_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' END AS wanted, 'brand#' || c_custkey % 25 AS ref, k.* FROM customer JOIN catalog k ON k.size = c_custkey % 50 + 1)
