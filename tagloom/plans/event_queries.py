@@ -30,7 +30,8 @@ def budget_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: for each request the ten best items under a price ceiling, two of a brand, more only if there are too few."""
     n = read(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"))
     items = catalog(spark, sf_dir).join(F.broadcast(n)).withColumn("vec_id", F.col("item_id") % F.col("n")).where(R.within_budget(F.col("price"), F.lit(960.0)))
-    near = R.top_k(vector_requests(spark, sf_dir), vectors(spark, sf_dir), 200).select("request_id", F.col("item_id").alias("vec_id"), F.round("sim", 9).alias("sim"))
+    fitting = vectors(spark, sf_dir).join(items.select(F.col("vec_id").alias("item_id")), "item_id", "left_semi")
+    near = R.top_k(vector_requests(spark, sf_dir), fitting, 200).select("request_id", F.col("item_id").alias("vec_id"), F.round("sim", 9).alias("sim"))
     both = near.join(items.select("item_id", "vec_id", "brand", "price"), "vec_id")
     fit = {"sim": F.col("sim"), "note": F.lit(0.0), "price": S.price_fit(F.col("price"), F.lit(960.0), F.lit(False))}
     scored_ = both.withColumn("score", F.round(S.blend(fit, {"price": F.lit(True)}), 6))
