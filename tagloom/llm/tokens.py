@@ -13,25 +13,29 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Iterator
 from itertools import accumulate
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, shuffle_width, text_chunks
 
 _ENCODERS: dict[str, "UnitEncoder"] = {}
-_MARKS = frozenset(".,;:!?")
-_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
-_BETWEEN = re.compile(r"\s \s").search
-_PLAIN_UNIT = re.compile(r" \S+").fullmatch
+_MARKS = string.punctuation
+_MARK_SET = frozenset(_MARKS)
+_LATIN_END = "\u0250"  # letters before it are letters in every version of Unicode
+_SPACE = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}\x{180e}]"
+_BETWEEN = f"{_SPACE} {_SPACE}"
+_PLAIN_UNIT = re.compile(r" \S(?:.*\S)?", re.S).fullmatch
 
 
 class UnitEncoder:
@@ -59,7 +63,6 @@ class UnitEncoder:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.width[i] = len(token)
         self.cache, self.young, self.old = cache, {}, {}
-        self.marks = dict(zip(_MARKS, self._plain(list(_MARKS)))) if self.by_unit else {}
         self.sentence_end: np.ndarray | None = None  # filled by the packer
 
     @classmethod
@@ -76,13 +79,14 @@ class UnitEncoder:
     def _encode_units(self, units: list[str]) -> list[bytes]:
         """Many units make one call; token widths in bytes tell where each unit ends."""
         out: list[bytes | None] = [None] * len(units)
-        clean = [i for i, u in enumerate(units) if _PLAIN_UNIT(u)]
+        clean = [i for i, x in enumerate(map(_PLAIN_UNIT, units)) if x]
         size = self.dtype.itemsize
         for lo in range(0, len(clean), 1024):
             part = clean[lo : lo + 1024]
-            ids = np.array(self.tokenizer.encode("".join(units[i] for i in part), add_special_tokens=False).ids, self.dtype)
+            joined = [units[i] for i in part]
+            ids = np.array(self.tokenizer.encode("".join(joined), add_special_tokens=False).ids, self.dtype)
             ends = np.cumsum(self.width[ids])
-            want = np.cumsum([len(units[i].encode()) for i in part])
+            want = np.cumsum(pc.binary_length(pa.array(joined)).to_numpy(), dtype=np.int64)
             cut = np.minimum(np.searchsorted(ends, want), len(ids) - 1)
             if np.array_equal(ends[cut], want):
                 blob, last = ids.tobytes(), 0
@@ -95,23 +99,33 @@ class UnitEncoder:
         return out
 
     def _look_up(self, units: list[str]) -> list[bytes]:
-        """A unit that ends in a letter and one mark is its stem and the mark, which are encoded apart anyhow."""
+        """The marks behind a letter are encoded apart anyhow, so a unit that ends in marks is its stem and its tail."""
         young, old = self.young, self.old
-        found = [young.get(u) or old.get(u) for u in units]
+        found = list(map(young.get, units))
         missing = [i for i, x in enumerate(found) if x is None]
-        if not missing:
-            return found
-        marked = {i: units[i][:-1] for i in missing if units[i][-1:] in _MARKS and units[i][-2:-1] in _LETTERS} if self.by_unit else {}
-        need = dict.fromkeys(marked.get(i, units[i]) for i in missing)
-        new = [u for u in need if u not in young and u not in old]
-        young.update(zip(new, self._encode_units(new)))
+        parts: dict[int, tuple[str, str]] = {}
+        new: dict[str, None] = {}
         for i in missing:
             u = units[i]
-            stem = marked.get(i)
-            if stem is None:
-                found[i] = young.get(u) or old.get(u, b"")
-            else:
-                found[i] = young[u] = (young.get(stem) or old.get(stem, b"")) + self.marks[u[-1]]
+            if (x := old.get(u)) is not None:
+                found[i] = x
+                continue
+            new[u] = None
+            if u[-1:] in _MARK_SET and self.by_unit:
+                stem = u.rstrip(_MARKS)
+                if (last := stem[-1:]).isalpha() and last < _LATIN_END:
+                    del new[u]
+                    parts[i] = stem, (tail := u[len(stem) :])
+                    if stem not in young and stem not in old:
+                        new[stem] = None
+                    if tail not in young and tail not in old:
+                        new[tail] = None
+        young.update(zip(new, self._encode_units(list(new))))
+        for i, (stem, tail) in parts.items():
+            found[i] = young[units[i]] = (young.get(stem) or old[stem]) + (young.get(tail) or old[tail])
+        for i in missing:
+            if found[i] is None:
+                found[i] = young[units[i]]
         if len(young) > self.cache:
             self.young, self.old = {}, young
         return found
@@ -121,18 +135,20 @@ class UnitEncoder:
         if not texts:
             return np.zeros(0, self.dtype), np.zeros(1, np.int64)
         if self.by_unit:
-            whole = [i for i, t in enumerate(texts) if _BETWEEN(t) or any(x in t for x in self.special)]
+            plain = pc.invert(pc.match_substring_regex(pa.array(texts, pa.large_string()), _BETWEEN)).to_pylist()
+            whole = [i for i, t in enumerate(texts) if not plain[i] or any(x in t for x in self.special)]
         else:
             whole = list(range(len(texts)))
         odd = dict(zip(whole, self._plain([texts[i] for i in whole])))
         split = pc.split_pattern(pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string()), " ")
         starts = split.offsets.to_numpy()
         coded = split.values.dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
         unit = coded.indices.to_numpy().astype(np.int64)
-        firsts = [pieces[unit[s]] for s in starts[:-1]]
+        firsts = coded.dictionary.take(pa.array(unit[starts[:-1]])).to_pylist()
+        led = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string()))
+        pieces = led.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
         unit[starts[:-1]] = len(pieces) + np.arange(len(texts))
-        values = self._look_up([" " + p for p in pieces]) + self._look_up(firsts)
+        values = self._look_up(pieces) + self._look_up(firsts)
         for i, x in odd.items():
             values[len(pieces) + i] = x
         ids = np.frombuffer(b"".join(values), self.dtype)
@@ -156,30 +172,48 @@ def encode_with_end(encoder: UnitEncoder, texts: list[str | None], end: int) ->
     return full, off
 
 
-def in_id_order(docs: DataFrame, shards: int) -> DataFrame:
+def in_id_order(docs: DataFrame, shards: int, least: int = 0) -> DataFrame:
     """Deal docs(doc_id, text) into shards by doc_id ranges, sorted inside each; adds ``shard``.
 
-    The bounds are quantiles of doc_id alone, so texts are read and moved once.
-    Null ids come first; rows with one id stay together, in order of their text.
+    The bounds are quantiles of doc_id; there are fewer than ``shards`` if a shard would have under ``least``
+    bytes of text. Null ids come first. Rows of one id, or of none, stand together in order of their
+    text; where they fill several shards, they are dealt over these by the text's hash.
     """
     at = [i / shards for i in range(1, shards)]
-    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), at, 100_000).alias("q")).first()["q"] if at else []
-    bounds = sorted(set(found or []))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shard = _search(bounds)(F.col("doc_id"))
-    return keyed.withColumn("shard", shard).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "text")
-
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marks = F.percentile_approx("doc_id", at, 100_000) if at else F.lit(None).cast("array<bigint>")
+    size = F.sum(F.octet_length("text")) if least else F.lit(None).cast("long")
+    found = known.agg(marks.alias("q"), size.alias("size"), F.count("*").alias("n"), F.count("doc_id").alias("named")).first()
+    wanted = min(shards, max(1, (found["size"] or 0) // least)) if least else shards
+    quantiles = found["q"] or []
+    bounds = [quantiles[i * shards // wanted - 1] for i in range(1, wanted)] if quantiles else []
+    nameless = max(1, round(wanted * (found["n"] - found["named"]) / max(1, found["n"])))
+    shard = _shard_of(F.col("doc_id"), F.xxhash64("text"), bounds, nameless)
+    keyed = known.withColumn("shard", shard)
+    return keyed.repartitionById(nameless + len(bounds), "shard").sortWithinPartitions("shard", "doc_id", "text")
+
+
+def _shard_of(c: Column, text: Column, bounds: list[int], nameless: int) -> Column:
+    """Null ids have the first ``nameless`` shards, the last of which is also that of ids up to the first bound.
+
+    Native binary search over constants, as a balanced tree of comparisons; an id that is a bound several
+    times has as many shards.
+    """
+    distinct = sorted(set(bounds))
+    base = [nameless - 1 + bisect_left(bounds, b) for b in distinct] + [nameless - 1 + len(bounds)]
 
-def _search(bounds: list[int]) -> Callable:
-    """Native binary search over constants, as a balanced tree of comparisons."""
+    def leaf(i: int) -> Column:
+        times = bounds.count(distinct[i]) if i < len(distinct) else 1
+        first = F.lit(base[i])
+        return first if times == 1 else F.when(c == F.lit(distinct[i]), first + F.pmod(text, F.lit(times)).cast("int")).otherwise(first)
 
-    def tree(c, lo: int, hi: int):
+    def tree(lo: int, hi: int) -> Column:
         if lo == hi:
-            return F.lit(lo)
+            return leaf(lo)
         mid = (lo + hi) // 2
-        return F.when(c > F.lit(bounds[mid]), tree(c, mid + 1, hi)).otherwise(tree(c, lo, mid))
+        return F.when(c > F.lit(distinct[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
-    return lambda c: F.when(c.isNull(), F.lit(0)).otherwise(tree(c, 0, len(bounds)))
+    return F.when(c.isNull(), F.pmod(text, F.lit(nameless)).cast("int")).otherwise(tree(0, len(distinct)))
 
 
 def local_path(uri: str) -> str:

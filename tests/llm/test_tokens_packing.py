@@ -115,3 +115,70 @@ def test_packing_nulls_repeats_and_nothing(spark):
     got = pack_documents(df, PATH).collect()
     assert sorted((str(r.doc_id), r.length) for r in got) == [("1", 1), ("2", 2), ("2", 2), ("None", 2)]
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def full_search(places, penalty, window):
+    from tagloom.llm.packing import WINDOW_COST
+
+    places, penalty = [0, *places], [0, *penalty]
+    cost = [0]
+    for j in range(1, len(places)):
+        cost.append(min(cost[i] + window - (places[j] - places[i]) for i in range(j) if places[j] - places[i] <= window) + penalty[j] + WINDOW_COST)
+    return dict(zip(places, penalty)), cost[-1]
+
+
+@pytest.mark.parametrize("window", [24, 100])
+def test_shard_is_the_optimum_however_it_is_cut(spark, window):
+    """The same pieces for small and large Arrow batches, at the least cost over the whole shard."""
+    from tagloom.llm.packing import WINDOW_COST, places_of, sentence_ends
+
+    ts = texts(150, 9) + ["word " * 150, "a b. " * 60, "x" * 500]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "doc_id long, text string").repartition(3)
+    got = []
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for rows in (7, 50, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        got.append(sorted(map(tuple, pack_documents(df, PATH, window, 1, 1).collect())))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got[0] == got[1] == got[2]
+    ids = [[*plain(t), 1] for t in ts]
+    ends = np.cumsum([len(x) for x in ids])
+    encoder = UnitEncoder.of(PATH)
+    penalties, least = full_search(*map(list, places_of(np.concatenate(ids), ends, sentence_ends(encoder), window)), window)
+    sequences = {}
+    for doc, start, length, _, seq, _, _ in got[0]:
+        at = int(ends[doc]) - len(ids[doc]) + start
+        lo, hi = sequences.get(seq, (at, at))
+        sequences[seq] = min(lo, at), max(hi, at + length)
+    cost = sum(window - (hi - lo) + penalties[hi] + WINDOW_COST for lo, hi in sequences.values())
+    assert cost == least and sum(hi - lo for lo, hi in sequences.values()) == ends[-1]
+
+
+def test_equal_documents_keep_two_chains(spark):
+    """Cuts after odd and after even documents cost the same for ever; nothing is lost then."""
+    df = spark.createDataFrame([(i, "word " * 5) for i in range(300)], "doc_id long, text string").coalesce(1)
+    got = pack_documents(df, PATH, 16, 1, 1).collect()
+    assert sum(r.length for r in got) == 300 * len([*plain("word " * 5), 1])
+
+
+def test_nameless_and_hot_ids_fill_several_shards(spark):
+    rows = [(None, f"n {i}") for i in range(40)] + [(5, f"h {i}") for i in range(40)] + [(i, f"t {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    from tagloom.llm.tokens import in_id_order
+
+    dealt = [(r.shard, r.doc_id) for r in in_id_order(df, 12).collect()]
+    assert len({s for s, d in dealt if d is None}) > 2 and len({s for s, d in dealt if d == 5}) > 2
+    order = [d for _, d in sorted(dealt, key=lambda x: (x[0], x[1] is not None, x[1] or 0))]
+    assert order == sorted(order, key=lambda d: (d is not None, d or 0))
+    got = sorted(((r.start, r.n_tokens) for r in token_file_digest(df, PATH).collect()))
+    assert [s for s, _ in got] == list(np.r_[0, np.cumsum([n for _, n in got])][:-1])
+
+
+def test_very_long_text_round_trip(spark):
+    long = "Sätze über alles, 12 more words. " * 60_000
+    df = spark.createDataFrame([(1, long), (2, "b")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_file_digest(df, PATH).collect())
+    ids = np.array([*plain(long), 0], "<u4")
+    assert got[0] == (1, 0, len(ids), zlib.crc32(ids.tobytes())) and got[1][1] == len(ids)
+    pieces = [r for r in pack_documents(df, PATH).collect() if r.doc_id == 1]
+    assert b"".join(bytes(r.ids) for r in sorted(pieces, key=lambda r: r.start)) == np.array([*plain(long), 1], "<u4").tobytes()
