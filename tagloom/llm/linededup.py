@@ -58,17 +58,20 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     hits = (
         _lines(docs, site).join(found, ["k1", "k2"])
         .where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-        .groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("pos").alias("_gone"))
+        .groupBy("doc_id", "h").agg(F.collect_set("pos").alias("gone"))
     )
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    joined = keyed.join(hits, keyed["doc_id"].eqNullSafe(hits["_id"]) & (keyed["_key"] == hits["_h"]), "left")
-    gone = F.col("_gone")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
-    return joined.select(*[F.when(gone.isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else keyed[c] for c in docs.columns])
+    same = docs["doc_id"].cast("long").eqNullSafe(hits["doc_id"]) & (F.xxhash64(docs["text"]) == hits["h"])
+    gone = hits["gone"]
+    kept = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    text = F.when(gone.isNull(), docs["text"]).otherwise(kept).alias("text")
+    return docs.join(hits, same, "left").select(*[text if c == "text" else docs[c] for c in docs.columns])
 
 
 def dedup_report(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """One row per row of docs: doc_id, the text that stays, and its number of lines."""
+    """One row per row of docs: doc_id, the text that stays, and its number of lines; null texts have null in both.
+
+    Empty texts have one line; repeated rows, null ids and sites, and an empty table as in ``dedup_lines``.
+    """
     return dedup_lines(docs, site, min_sites).select("doc_id", "text", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
 
 

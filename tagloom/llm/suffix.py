@@ -14,6 +14,7 @@ with at least that much in common.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -279,13 +280,14 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     settled = found.where("m = 0 or same > 1").select("ref", "at", "n")
     wanted = found.where("m > 0 and mixed and nth = 1").select("ref", "at", "n", "gram", (F.col("same") == 1).alias("open"))
     repeats = materialize(settled.unionByName(_settle(_edges(docs, wanted, length), length)), "repeats")
-    spans = repeats.groupBy(F.col("ref").alias("_ref")).agg(F.collect_list(F.struct("at", "n")).alias("_spans"))
+    spans = repeats.groupBy("ref").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    found_name = f"spans_{uuid.uuid4().hex}"  # no column of docs has this name
     keep = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches, "text"):
             kept, sizes, removed, counts = [], [], [], []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist()):
+            for text, spans in zip(b.column("text").to_pylist(), b.column(found_name).to_pylist()):
                 raw = (text or "").encode()
                 gone = np.zeros(len(raw) + 1, np.int32)
                 for s in spans or ():
@@ -300,7 +302,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             yield pa.record_batch({c: b.column(c) for c in keep} | added)
 
     base = docs.select(*keep)
-    joined = base.withColumn("_key", _row_key()).join(spans, F.col("_key") == F.col("_ref"), "left").drop("_key", "_ref")
+    joined = base.join(spans, F.xxhash64(base["doc_id"], base["text"]) == spans["ref"], "left").select(*[base[c] for c in keep], spans["spans"].alias(found_name))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     return joined.mapInArrow(run, f"{schema}, kept binary, n_bytes long, n_removed long, n_spans long")
 
