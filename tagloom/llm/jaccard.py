@@ -1,12 +1,11 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, with a prefix filter.
+"""Exact Jaccard similarity of word shingles: verification, and a prefix filter for what other candidates miss.
 
 All shingles stand in one order: those of many texts last, then by hash. If two sets share at
 least the part t of their union, the first n - ceil(t n) + 1 shingles of both (their prefixes) have
 one in common, so texts meet at the shingles of their prefixes and no pair is overlooked. How
-common a shingle is need not be exact for that: it is counted in 2**20 buckets. A first pass
-compares neighbours with equal MinHash bands, so that most copies are in one component
-already; the pass over the prefixes then compares only across components. Each candidate is
-verified on both whole sets. Shingles are 64-bit hashes.
+common a shingle is need not be exact for that: it is counted in 2**20 buckets. Texts that are
+connected already are not compared again. Each candidate is verified on both whole sets.
+Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,48 +20,63 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import component_ids, connected_components, materialize, text_chunks
+from .common import materialize, text_chunks
 
 SHARE, SHINGLE = 0.8, 5
-BANDS, BAND_HASHES = 4, 2
-BLOCK = 2048
 _BUCKETS = 1 << 20
 _BITS = 1 << 24
 _CHUNK = 4 << 20
 _EDGES = ["a", "b"]
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted; words and short texts as in ``simhash.fingerprint``."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 (seed 42) of each shingle of a text by place, repeats included.
+
+    A-Z are lower-cased; words are runs without ASCII white space; fewer words
+    than ``shingle`` make one shingle; no word (null, empty, blank) makes none.
+    """
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     parts = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else [words]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, parts), repeat(42)), np.uint64))
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, parts), repeat(42)), np.uint64, max(1, len(words) - shingle + 1))
 
 
-def _named(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]]:
-    """Pieces of the rows with the shingle set of each text and its key."""
+def texts_in_chunks(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray], np.ndarray]]:
+    """Pieces of the rows with each text's shingle hashes, its sorted set of them, and the set's name."""
     for b in text_chunks(batches, "text", _CHUNK):
-        sets = [shingle_set(t, shingle) for t in b.column("text").to_pylist()]
-        yield b, sets, np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+        hashes = [shingle_hashes(t, shingle) for t in b.column("text").to_pylist()]
+        sets = [np.unique(h) for h in hashes]
+        yield b, hashes, sets, np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+
 
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """For each of 2**k cells, at least two a hash and at least 64, whether a set has an odd number of hashes in it."""
+    cells = max(64, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    odd = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
 
-def _keys(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, key, bands) for each row; ``key`` names the set, and each band is a hash of some of its MinHashes."""
-    factors = np.random.default_rng(7).integers(1, 1 << 62, BANDS * BAND_HASHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def bands(h: np.ndarray) -> list[int]:
-        if not len(h):
-            return []
-        low = np.array([((h * f) ^ ((h * f) >> np.uint64(31))).min() for f in factors], np.uint64)
-        return [xxhash.xxh64_intdigest(low[i : i + BAND_HASHES].tobytes(), i) >> 1 for i in range(0, len(low), BAND_HASHES)]
+def may_be_similar(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
+    """The pairs(a, b) of sets that nodes(key, n, bits) do not rule out.
+
+    Each cell in which the parities of two sets differ holds a hash of only one of them, so few bytes bound what
+    both can have in common. The larger set's cells are folded to the number of the smaller one's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, sets, keys in _named(batches, shingle):
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "key": pa.array(keys), "bands": pa.array([bands(h) for h in sets], pa.list_(pa.int64()))})
+        for batch in batches:
+            ok = []
+            for x, y, total in zip(batch.column("x"), batch.column("y"), (batch.column("nx").to_numpy() + batch.column("ny").to_numpy()).tolist()):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                k = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(z.reshape(-1, k)) if len(z) > k else z for z in (x, y))
+                most = (total - int(np.bitwise_count(x ^ y).sum())) / 2
+                ok.append(most * (1 + share) >= share * total - 1e-6)
+            yield batch.select(_EDGES).filter(pa.array(ok, pa.bool_()))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key long, bands array<long>")
+    side = lambda key, bits, n: nodes.select(F.col("key").alias(key), F.col("bits").alias(bits), F.col("n").cast("long").alias(n))
+    return pairs.join(side("a", "x", "nx"), "a").join(side("b", "y", "ny"), "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(run, "a long, b long")
 
 
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +84,7 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_BUCKETS, np.int64)
-        for _, sets, _ in _named(batches, shingle):
+        for _, _, sets, _ in texts_in_chunks(batches, shingle):
             total += np.bincount((np.concatenate(sets) % np.uint64(_BUCKETS)).astype(np.int64), minlength=_BUCKETS)
         at = np.flatnonzero(total)
         for lo in range(0, len(at), 1 << 16):
@@ -84,32 +98,13 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return found.column("bucket").to_numpy().astype(np.int64), found.column("n").to_numpy()
 
 
-def _neighbours(bands: DataFrame) -> DataFrame:
-    """(a, b): sets that follow each other in a band, in an order that differs from band to band."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            band, key = batch.column("band").to_numpy(), batch.column("key").to_numpy()
-            if not len(band):
-                continue
-            if last is not None:
-                band, key = np.r_[last[0], band], np.r_[last[1], key]
-            at = np.flatnonzero(band[1:] == band[:-1])
-            last = band[-1], key[-1]
-            yield pa.record_batch([pa.array(np.minimum(key[at], key[at + 1])), pa.array(np.maximum(key[at], key[at + 1]))], _EDGES)
-
-    order = ["band", F.xxhash64("key", "band"), "key"]
-    return bands.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").where("a <> b").distinct()
-
-
 def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], share: float, shingle: int) -> DataFrame:
     """(token, key, n, pos): the shingles of each text's prefix and their places in the order."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, counts = sent.value
-        for _, sets, keys in _named(batches, shingle):
+        for _, _, sets, keys in texts_in_chunks(batches, shingle):
             tokens = []
             for h in sets:
                 if len(buckets):
@@ -217,7 +212,7 @@ def _across(shared: DataFrame, roots: DataFrame, share: float, block: int) -> Da
     return cells.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInArrow(_meet(share), "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, share: float, shingle: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, share: float, shingle: int) -> DataFrame:
     """The pairs whose whole sets are similar enough. A bitmap of fixed size keeps most other texts out of the shuffle."""
     pairs = materialize(pairs, "pairs")
     key = pairs.select(F.explode(F.array("a", "b")).alias("key")).select(F.col("key").bitwiseAND(F.lit(_BITS - 1)).alias("at"))
@@ -228,7 +223,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, share: float, shingle: int) ->
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets, keys in _named(batches, shingle):
+        for _, _, sets, keys in texts_in_chunks(batches, shingle):
             at = keys & (_BITS - 1)
             rows = np.flatnonzero(sent.value[at >> 6] >> (at & 63) & 1)
             yield pa.record_batch({"key": pa.array(keys[rows]), "shingles": pa.array([sets[i].tobytes() for i in rows], pa.binary())})
@@ -247,28 +242,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, share: float, shingle: int) ->
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, share: float = SHARE, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id) for each row: texts of Jaccard similarity ``share`` or more are linked.
-
-    component_id is the smallest doc_id reachable. Null and blank texts equal each other and
-    nothing else. A null doc_id takes part but is never a component_id, unless the whole
-    component has none.
-    """
-    rows = materialize(_keys(docs, shingle), "keys")
-    nodes = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("id")), "nodes")
-    bands = rows.select("key", F.explode("bands").alias("band")).distinct()
-    near = materialize(_verified(_neighbours(bands), docs, share, shingle), "near")
-    roots = connected_components(near)
+def similar_across(docs: DataFrame, roots: DataFrame, share: float, shingle: int, block: int) -> DataFrame:
+    """Candidate pairs (a, b) of sets that may be similar and that roots(node, root) do not connect."""
     shared = materialize(_shared(_prefixes(docs, _common(docs, shingle), share, shingle)), "shared")
-    far = materialize(_verified(_across(shared, roots, share, block), docs, share, shingle), "far")
-    return rows.select("doc_id", "key").join(component_ids(nodes, near.unionByName(far)), "key").select("doc_id", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, share: float = SHARE, shingle: int = SHINGLE) -> DataFrame:
-    """Keep of each component the document with the smallest doc_id; all columns stay.
-
-    Rows that share a doc_id are one document. Rows without a doc_id stay.
-    """
-    found = jaccard_components(docs, share, shingle)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return _across(shared, roots, share, block)

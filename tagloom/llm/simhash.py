@@ -13,37 +13,31 @@ dealt into blocks. A cell emits a spanning forest of its links, not all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import component_ids, materialize, spanning_forest, text_chunks
+from .common import component_ids, connected_components, materialize, spanning_forest, text_chunks
+from .jaccard import SHARE, SHINGLE, may_be_similar, parity_bits, shingle_hashes, similar_across, texts_in_chunks, verified
 
 BLOCK = 4096
 _SLICE = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Fingerprint of one text: bit i is one if it is set in over half of the shingle hashes.
-
-    A-Z are lower-cased; words are runs without ASCII white space; fewer words
-    than ``shingle`` make one shingle; no word (null, empty, blank) gives zero.
-    """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    count = max(1, len(words) - shingle + 1)
-    parts = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else [words]
-    hashes = map(xxhash.xxh64_intdigest, map(b" ".join, parts), repeat(42))
+def majority_bits(hashes: np.ndarray) -> int:
+    """Bit i is one if it is set in over half of the 64-bit hashes; without hashes zero."""
     ones = np.zeros(64, np.int64)
-    for lo in range(0, count, _SLICE):
-        h = np.fromiter(hashes, np.dtype("<u8"), min(_SLICE, count - lo))
+    for lo in range(0, len(hashes), _SLICE):
+        h = np.ascontiguousarray(hashes[lo : lo + _SLICE], "<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(ones * 2 > count, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Fingerprint of one text from its shingle hashes, repeats included; no word (null, empty, blank) gives zero."""
+    return majority_bits(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -173,3 +167,51 @@ def simhash_components(docs: DataFrame, threshold: int = 3, shingle: int = 3, bl
     return prints.join(named, prints["fp"] == named["key"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def _similar(docs: DataFrame, share: float, shingle: int, threshold: int, block: int) -> DataFrame:
+    """(doc_id, of_text, component_id) for each row; ``of_text`` hashes the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, hashes, sets, keys in texts_in_chunks(batches, shingle):
+            fps = np.array([majority_bits(h) for h in hashes], np.uint64)
+            yield pa.record_batch({
+                "doc_id": b.column("doc_id"), "of_text": b.column("of_text"), "key": pa.array(keys), "fp": pa.array(fps.view(np.int64)),
+                "n": pa.array([len(s) for s in sets], pa.int32()), "bits": pa.array([parity_bits(s) for s in sets], pa.binary()),
+            })
+
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of_text"), "text")
+    rows = materialize(named.mapInArrow(run, "doc_id long, of_text long, key long, fp long, n int, bits binary"), "keys")
+    nodes = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+    first = materialize(nodes.groupBy("fp").agg(F.min("key").alias("first")), "first")
+    edges = links(first.select("fp"), threshold, block)
+    between = edges.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    within = nodes.join(first, "fp").where("key <> first").select(F.col("first").alias("x"), F.col("key").alias("y"))
+    pairs = between.select("x", "y").unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    near = materialize(verified(may_be_similar(pairs, nodes, share), docs, share, shingle), "near")
+    missing = similar_across(docs, connected_components(near), share, shingle, block)
+    far = materialize(verified(may_be_similar(missing, nodes, share), docs, share, shingle), "far")
+    return rows.select("doc_id", "of_text", "key").join(component_ids(nodes.select("key", "id"), near.unionByName(far)), "key").drop("key")
+
+
+def similar_components(docs: DataFrame, share: float = SHARE, shingle: int = SHINGLE, threshold: int = 3, block: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id) for each row: texts of Jaccard similarity ``share`` or more are linked.
+
+    The anchors find most links: fingerprints of the same shingles within ``threshold`` bits are candidates, each verified on
+    both whole sets. Texts may be that similar and yet differ in more bits, so a prefix filter then finds what is still missing
+    between components, and nothing is lost. component_id is the smallest doc_id reachable. Null and blank texts
+    equal each other and nothing else. A null doc_id takes part but is never a component_id, unless the whole component
+    has none. Repeated rows stay; other columns are ignored; an empty table gives no rows.
+    """
+    return _similar(docs, share, shingle, threshold, block).drop("of_text")
+
+
+def drop_near_duplicates(docs: DataFrame, share: float = SHARE, shingle: int = SHINGLE) -> DataFrame:
+    """Keep of each component the rows of the smallest doc_id; all columns stay.
+
+    Rows that share doc_id and text stay or go together, and rows without a doc_id stay. Two different texts under one
+    doc_id are judged apart: one goes only if it is similar itself to a text of a smaller doc_id, directly or by a chain.
+    """
+    found = _similar(docs, share, shingle, 3, BLOCK)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id"), "of_text").distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["id"]) & (F.xxhash64(docs["text"]) == gone["of_text"]), "left_anti")

@@ -2,8 +2,8 @@ import random
 
 import pytest
 
-from tagloom.llm import jaccard
-from tagloom.llm.jaccard import drop_near_duplicates, jaccard_components
+from tagloom.llm import simhash
+from tagloom.llm.simhash import drop_near_duplicates, similar_components
 
 
 def shingles(text):
@@ -39,16 +39,15 @@ def texts(seed):
     return out
 
 
-@pytest.mark.parametrize("bands,block", [(4, 2048), (4, 5), (1, 5)])
-def test_components_against_brute_force(spark, monkeypatch, bands, block):
-    """Whatever the first pass finds, and however tokens are cut into cells, no pair is lost."""
-    monkeypatch.setattr(jaccard, "BANDS", bands)
-    ts = texts(bands + block)
+@pytest.mark.parametrize("anchors,block", [(True, 2048), (True, 5), (False, 5)])
+def test_components_against_brute_force(spark, monkeypatch, anchors, block):
+    """Whatever the anchors find, and however tokens are cut into cells, no pair is lost."""
+    ts = texts(anchors + block)
     ids = [3 * i + 1 for i in range(len(ts))]
     df = spark.createDataFrame(list(zip(ids, ts)), "doc_id long, text string").repartition(3)
-    if bands == 1:
-        monkeypatch.setattr(jaccard, "_neighbours", lambda b: b.selectExpr("key as a", "key as b").limit(0))
-    got = {r.doc_id: r.component_id for r in jaccard_components(df, block=block).collect()}
+    if not anchors:
+        monkeypatch.setattr(simhash, "links", lambda fps, *_: fps.selectExpr("fp as a", "fp as b").limit(0))
+    got = {r.doc_id: r.component_id for r in similar_components(df, block=block).collect()}
     assert got == plain_components(ids, ts)
 
 
@@ -71,3 +70,10 @@ def test_pairs_of_far_fingerprints_go(spark):
     assert got.columns == df.columns
     assert sorted((r.doc_id for r in got.collect()), key=str) == [1, None]
     assert drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_texts_of_one_id_are_judged_apart(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "quite another text of several words"), (2, "quite another text of several words"), (3, None), (4, " ")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, id int, of_text int")
+    got = sorted((r.doc_id, r.text) for r in drop_near_duplicates(df).collect())
+    assert got == [(1, rows[0][1]), (2, rows[2][1]), (2, rows[2][1]), (3, None)] and drop_near_duplicates(df).columns == df.columns
