@@ -44,7 +44,7 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that a piece has about ``limit`` bytes of text, or one row."""
+    """Cut Arrow batches so that a piece has about ``limit`` bytes of text, or one row; at the end free memory goes back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -53,6 +53,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 <
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
             yield batch.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()
 
 
 def spanning_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

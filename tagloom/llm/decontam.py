@@ -32,7 +32,7 @@ class _WordHashes(dict):
     """Hashes of words seen so far; cleared when it holds many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
