@@ -3,7 +3,7 @@
 All shingles stand in one order: those of many texts last, then by hash. If two sets share at
 least the part t of their union, the first n - ceil(t n) + 1 shingles of both (their prefixes) have
 one in common, so texts meet at the shingles of their prefixes and no pair is overlooked. How
-common a shingle is need not be exact for that: it is counted in 2**20 buckets. Texts that are
+common a shingle is need not be exact for that: it is counted in 2**22 buckets. Texts that are
 connected already are not compared again. Each candidate is verified on both whole sets.
 Shingles are 64-bit hashes.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialize, text_chunks
 
 SHARE, SHINGLE = 0.8, 5
-_BUCKETS = 1 << 20
+_BUCKETS = 1 << 22
 _BITS = 1 << 24
 _CHUNK = 4 << 20
 _EDGES = ["a", "b"]
@@ -80,7 +80,7 @@ def may_be_similar(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFram
 
 
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of shingles that stand in far more texts than most, and in how many; only the order of shingles depends on it, so one text of 16 is looked at."""
+    """Buckets of shingles that stand in more texts than chance gives, and in how many; only the order of shingles depends on it, so one text of four is looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_BUCKETS, np.int64)
@@ -91,10 +91,10 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
             part = at[lo : lo + (1 << 16)]
             yield pa.record_batch({"bucket": pa.array(part.astype(np.int32)), "n": pa.array(total[part])})
 
-    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0)
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(4)) == 0)
     counts = materialize(some.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "common")
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / _BUCKETS
-    found = counts.where(F.col("n") > 8 + 4 * mean).toArrow().sort_by("bucket")
+    found = counts.where(F.col("n") > 1 + mean + 3 * math.sqrt(mean)).toArrow().sort_by("bucket")
     return found.column("bucket").to_numpy().astype(np.int64), found.column("n").to_numpy()
 
 
@@ -148,7 +148,9 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     return prefixes.repartition("token").sortWithinPartitions("token", "key").mapInArrow(run, "token long, key long, n int, pos int")
 
 
-def _meet(share: float):
+def _meet(share: float, first_only: bool):
+    """Pairs of rows of a cell that may be similar; with ``first_only`` those of its first row alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by token and cell; pairs of different components that may be similar go on."""
         names = ("token", "cell", "key", "n", "pos", "comp", "side")
@@ -176,14 +178,14 @@ def _meet(share: float):
         many = 0
         for lo, hi in zip(bounds[mixed].tolist(), ends[mixed].tolist()):
             step = max(1, (1 << 20) // (hi - lo))
-            for at in range(lo, hi, step):
-                x, y = slice(at, min(hi, at + step)), slice(lo, hi)
+            for at in range(lo, lo + 1 if first_only else hi, step):
+                x, y = slice(at, lo + 1 if first_only else min(hi, at + step)), slice(lo, hi)
                 a, b = n[x, None], n[None, y]
                 rest = np.minimum(a - pos[x, None], b - pos[None, y])  # what can still be common from the first common token on
-                ok = (key[x, None] < key[None, y]) & (comp[x, None] != comp[None, y]) & (rest * (1 + share) >= share * (a + b) - 1e-9)
+                ok = ((key[x, None] < key[None, y]) | first_only) & (comp[x, None] != comp[None, y]) & (rest * (1 + share) >= share * (a + b) - 1e-9)
                 ok &= (side[x, None] == 0) | (side[x, None] != side[None, y])
                 i, j = np.nonzero(ok)
-                found.append(np.stack([key[x][i], key[y][j]]))
+                found.append(np.sort(np.stack([key[x][i], key[y][j]]), 0))
                 many += len(i)
                 if many > 1 << 20:
                     yield out(found)
@@ -198,8 +200,12 @@ def _meet(share: float):
     return run
 
 
-def _across(shared: DataFrame, roots: DataFrame, share: float, block: int) -> DataFrame:
-    """Candidates (a, b) in different components. Tokens of many sets are met in cells of two blocks each."""
+def similar_across(shared: DataFrame, roots: DataFrame, share: float, block: int, first_only: bool = False) -> DataFrame:
+    """Candidate pairs (a, b) of sets that may be similar and that roots(node, root) do not connect, from ``shared_prefixes``.
+
+    Tokens of many sets are met in cells of two blocks each. ``first_only`` pairs only the first set of a cell with
+    the others, so it makes as many pairs as rows at most: a step that connects large groups before all is compared.
+    """
     big = shared.groupBy("token").count().where(F.col("count") > block).select("token", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     rows = shared.join(roots, shared["key"] == roots["node"], "left").join(big, "token", "left").withColumns({"comp": F.coalesce("root", "key"), "blocks": F.coalesce("blocks", F.lit(1))})
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
@@ -209,7 +215,7 @@ def _across(shared: DataFrame, roots: DataFrame, share: float, block: int) -> Da
         .select("token", (F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other")).alias("cell"), "key", "n", "pos", "comp",
                 F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
     )
-    return cells.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInArrow(_meet(share), "a long, b long").distinct()
+    return cells.repartition("token", "cell").sortWithinPartitions("token", "cell", "key").mapInArrow(_meet(share, first_only), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, share: float, shingle: int) -> DataFrame:
@@ -242,7 +248,6 @@ def verified(pairs: DataFrame, docs: DataFrame, share: float, shingle: int) -> D
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_across(docs: DataFrame, roots: DataFrame, share: float, shingle: int, block: int) -> DataFrame:
-    """Candidate pairs (a, b) of sets that may be similar and that roots(node, root) do not connect."""
-    shared = materialize(_shared(_prefixes(docs, _common(docs, shingle), share, shingle)), "shared")
-    return _across(shared, roots, share, block)
+def shared_prefixes(docs: DataFrame, share: float, shingle: int) -> DataFrame:
+    """The shingles (token, key, n, pos) of all prefixes that several sets have in theirs."""
+    return materialize(_shared(_prefixes(docs, _common(docs, shingle), share, shingle)), "shared")

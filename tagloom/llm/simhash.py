@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import component_ids, connected_components, materialize, spanning_forest, text_chunks
-from .jaccard import SHARE, SHINGLE, may_be_similar, parity_bits, shingle_hashes, similar_across, texts_in_chunks, verified
+from .jaccard import SHARE, SHINGLE, may_be_similar, parity_bits, shared_prefixes, shingle_hashes, similar_across, texts_in_chunks, verified
 
 BLOCK = 4096
 _SLICE = 1 << 16
@@ -189,9 +189,11 @@ def _similar(docs: DataFrame, share: float, shingle: int, threshold: int, block:
     within = nodes.join(first, "fp").where("key <> first").select(F.col("first").alias("x"), F.col("key").alias("y"))
     pairs = between.select("x", "y").unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     near = materialize(verified(may_be_similar(pairs, nodes, share), docs, share, shingle), "near")
-    missing = similar_across(docs, connected_components(near), share, shingle, block)
-    far = materialize(verified(may_be_similar(missing, nodes, share), docs, share, shingle), "far")
-    return rows.select("doc_id", "of_text", "key").join(component_ids(nodes.select("key", "id"), near.unionByName(far)), "key").drop("key")
+    shared = shared_prefixes(docs, share, shingle)
+    for first_only in (True, False):
+        missing = similar_across(shared, connected_components(near), share, block, first_only)
+        near = near.unionByName(materialize(verified(may_be_similar(missing, nodes, share), docs, share, shingle), "far"))
+    return rows.select("doc_id", "of_text", "key").join(component_ids(nodes.select("key", "id"), near), "key").drop("key")
 
 
 def similar_components(docs: DataFrame, share: float = SHARE, shingle: int = SHINGLE, threshold: int = 3, block: int = BLOCK) -> DataFrame:
