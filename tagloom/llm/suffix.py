@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,10 @@ _BASE = 0x9E3779B97F4A7C15
 _TILE = 1 << 20
 _HOLD = 1 << 20
 _BATCH = 1_500_000
+#: Rows of a group that are sorted together; larger groups are divided.
+_GROUP = 20_000
+_EDGE = ["g", "core", "ref", "at", "open", "a", "b"]
+_EDGE_SCHEMA = "g long, core long, ref long, at long, open boolean, a binary, b binary"
 _powers: list[np.ndarray] = []
 
 
@@ -212,16 +217,60 @@ def _edges(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                             rows.append((xxhash.xxh64_intdigest(common, side) >> 1, xxhash.xxh64_intdigest(common, 7 + side) >> 1, ref, lo, p["open"], raw[lo:core], raw[core + gram + half : hi + length]))
             cols = list(zip(*rows)) or [()] * 7
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["g", "core", "ref", "at", "open", "a", "b"])
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], _EDGE)
 
     parts = wanted.groupBy("ref").agg(F.collect_list(F.struct("at", "n", "gram", "open")).alias("parts"))
     texts = docs.select(_row_key().alias("ref"), "text")
-    return texts.join(parts, "ref").mapInArrow(run, "g long, core long, ref long, at long, open boolean, a binary, b binary")
+    return texts.join(parts, "ref").mapInArrow(run, _EDGE_SCHEMA)
+
+
+def _split(hot: DataFrame, low: int, high: int, room: int) -> DataFrame:
+    """Groups whose windows have ``low`` to ``high`` bytes before the core, cut in two each.
+
+    Equal windows with at most ``mid`` bytes before the core agree in the room - mid bytes behind it, the
+    others in the mid + 1 bytes before it; so each half of the windows meets in groups of its own.
+    """
+    mid = (low + high) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                a, b, g = r["a"], r["b"], r["g"].to_bytes(8, "little", signed=True)
+                for side, key, left, right in ((0, b[: room - mid], a[max(0, len(a) - mid) :], b), (1, a[max(0, len(a) - mid - 1) :], a, b[: room - mid - 1])):
+                    if len(key) == (mid + 1 if side else room - mid) and len(left) + len(right) >= room:
+                        rows.append((xxhash.xxh64_intdigest(g + key, side) >> 1, r["core"], r["ref"], r["at"] + len(a) - len(left), r["open"], left, right, side))
+            cols = list(zip(*rows)) or [()] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], [*_EDGE, "side"])
+
+    return hot.select(*_EDGE).mapInArrow(run, f"{_EDGE_SCHEMA}, side int")
+
+
+def _divide(edges: DataFrame, room: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(groups of at most ``_GROUP`` rows, rows of larger groups whose only window is thus repeated)."""
+    small, settled, open_ = [], [], [(materialize(edges, "edges"), 0, room)]
+    while open_:
+        rows, low, high = open_.pop()
+        big = materialize(rows.groupBy("g", "core").count().where(F.col("count") > _GROUP).select("g", "core"), "big")
+        if big.isEmpty():
+            small.append(rows)
+            continue
+        small.append(rows.join(big, ["g", "core"], "left_anti").select(*_EDGE))
+        hot = rows.join(big, ["g", "core"], "left_semi")
+        if low == high:
+            settled.append(hot.where("open").select("ref", "at", F.lit(1).alias("n")))
+            continue
+        halves, mid = materialize(_split(hot, low, high, room), "halves"), (low + high) // 2
+        open_ += [(halves.where("side = 0").select(*_EDGE), low, mid), (halves.where("side = 1").select(*_EDGE), mid + 1, high)]
+    return small, settled
 
 
 def _settle(edges: DataFrame, length: int) -> DataFrame:
     """(ref, at, n): stretches of windows of open runs that recur."""
     least = length - (length // 2 + length // 4) + 1
+    small, settled = _divide(edges, least - 1)
+    edges = reduce(DataFrame.unionByName, small)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -256,7 +305,8 @@ def _settle(edges: DataFrame, length: int) -> DataFrame:
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    return edges.repartition("g").sortWithinPartitions("g").mapInArrow(run, "ref long, at long, n int")
+    found = edges.repartition("g").sortWithinPartitions("g").mapInArrow(run, "ref long, at long, n int")
+    return reduce(DataFrame.unionByName, settled, found)
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:

@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
+from tagloom.llm import suffix
 from tagloom.llm.suffix import long_prefixes, remove_repeats, repeats_digest, sort_suffixes
 
 
@@ -69,3 +71,31 @@ def test_nulls_repeats_extra_columns_and_empty(spark):
     n = len(long)
     assert got == sorted([(1, n, n, 1), (1, n, n, 1), (None, 231, 230, 1), (None, 0, 0, 0)], key=str)
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("group", [1, 3, 7])
+def test_divided_groups_against_definition(spark, monkeypatch, group):
+    """One passage in many surroundings, some of which are partly alike: groups are divided down to single windows."""
+    monkeypatch.setattr(suffix, "_GROUP", group)
+    rnd = random.Random(group)
+    passage = "".join(rnd.choice("abcdefgh") for _ in range(170))
+    ends = ["".join(rnd.choice("xyz") for _ in range(60)) for _ in range(4)]
+    docs = []
+    for _ in range(40):
+        left, right = rnd.choice(ends), rnd.choice(ends)
+        docs.append("".join(rnd.choice("xyz") for _ in range(30)) + left[rnd.randrange(60) :] + passage + right[: rnd.randrange(60)] + "".join(rnd.choice("xyz") for _ in range(30)))
+    for length in (200, 60):
+        df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats_digest(df, length).collect()}
+        assert got == dict(enumerate(plain_repeats(docs, length)))
+
+
+def test_repeats_across_tiles_of_a_long_text(spark):
+    rnd = random.Random(4)
+    line = "".join(rnd.choice("abcdefghijklmnop") for _ in range((1 << 20) + 5000))
+    long = line[: (1 << 20) + 60] + line[(1 << 20) - 90 : (1 << 20) + 50] + line[(1 << 20) + 60 :]
+    docs = [long, "x" + line[(1 << 20) - 30 : (1 << 20) + 30], None]
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(docs)], "doc_id long, text string, _key string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats_digest(df, 40).collect()}
+    assert got == dict(enumerate(plain_repeats(docs, 40)))
+    assert remove_repeats(df, 40).where("_key = 'k'").count() == 3
