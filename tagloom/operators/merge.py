@@ -92,8 +92,9 @@ def merge(stored: DataFrame, batch: DataFrame, keep: list[str] = KEEP_OLD_IF_NUL
     return updated.unionByName(numbered.select("item_id", *columns), allowMissingColumns=True)
 
 
-def numbered_after(fresh: DataFrame, base: DataFrame, parts: int = 64) -> DataFrame:
-    """Dense ids after ``base(_base)``, in order of the rows' key: counted by part, so no task holds all rows."""
+def numbered_after(fresh: DataFrame, base: DataFrame) -> DataFrame:
+    """Dense ids after ``base(_base)``, in order of the rows' key: counted by part, as many as shuffle partitions."""
+    parts = int(fresh.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = fresh.withColumn("_part", F.pmod(F.xxhash64("brand", "item"), F.lit(parts)))
     sizes = keyed.groupBy("_part").agg(F.count("*").alias("_size"))
     offset = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")

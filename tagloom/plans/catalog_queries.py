@@ -367,6 +367,18 @@ PICK_SQL = f"""{_BASE}, r AS (SELECT *, row_number() OVER (PARTITION BY request_
 SELECT request_id, item_id, CAST(pr AS INT) AS rank, round(0.7 * score + 0.3 * least(100.0, CAST(item_id % 120 AS DOUBLE)), 3) AS score FROM p WHERE pr <= 5"""
 
 
+def repriced_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blended picks in the price order of their request again."""
+    r = W.top(scored(spark, sf_dir), W.quality_order(), 20)
+    picks = r.where("rank % 2 = 0").select("request_id", "item_id", (30 - F.col("rank")).alias("pos"), (F.col("item_id") % 120).cast("double").alias("adjusted_score"), F.lit(None).cast("string").alias("explanation"))
+    page = W.repriced(W.blended_picks(r, picks, 5), F.col("budget"), F.col("request_id") % 2 == 0)
+    return page.select("request_id", "item_id", "rank", F.round("score", 3).alias("score"))
+
+
+REPRICED_SQL = f"""WITH base AS ({PICK_SQL}), q AS (SELECT b.*, p.p_retailprice AS price, CASE WHEN b.request_id % 3 > 0 THEN 900 + b.request_id % 100 END AS budget FROM base b JOIN part p ON p.p_partkey = b.item_id)
+SELECT request_id, item_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN request_id % 2 = 0 THEN price WHEN budget IS NOT NULL THEN -price ELSE rank END, score DESC, item_id) AS INT) AS rank, score FROM q"""
+
+
 def offered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = W.ranked(scored(spark, sf_dir), W.quality_order())
     return W.offered_pages(r, 2, 60, 40.0).select("request_id", "item_id", "rank", "page")
@@ -405,5 +417,5 @@ QUERIES = {
     "legacy_backfill": (legacy_backfill, BACKFILL_SQL), "priority_fold": (priority_fold, FOLD_SQL), "catalog_merge": (catalog_merge, MERGE_SQL), "tag_tiers": (tag_tiers, TIER_SQL), "derived_scores": (derived_scores, SCORE_SQL),
     "scenario_performance": (scenario_performance, PERFORMANCE_SQL), "character_and_price": (character_and_price, CHARACTER_SQL), "expanded_queries": (expanded_queries, None), "fit_table": (fit_table, FIT_SQL),
     "blended_scores": (blended_scores, BLEND_SQL), "price_orders": (price_orders, ORDER_SQL), "brand_capped": (brand_capped, CAP_SQL), "strictly_capped": (strictly_capped, STRICT_SQL), "diversified_page": (diversified_page, DIVERSE_SQL),
-    "external_picks": (external_picks, PICK_SQL), "offered_pages": (offered_pages, PAGE_SQL), "composition": (composition, COMPOSITION_SQL),
+    "external_picks": (external_picks, PICK_SQL), "repriced_picks": (repriced_picks, REPRICED_SQL), "offered_pages": (offered_pages, PAGE_SQL), "composition": (composition, COMPOSITION_SQL),
 }

@@ -39,8 +39,8 @@ def budget_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select("request_id", "rank", "item_id", "brand", F.round("score", 4).alias("score"))
 
 
-SLICE_SQL = f"""WITH {_SIMS}, near AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, item_id) <= 200),
-c AS (SELECT p_partkey AS item_id, p_brand AS brand, p_retailprice AS price, p_partkey % (SELECT count(*) FROM embeddings) AS vec_id FROM part WHERE p_retailprice <= 960),
+SLICE_SQL = f"""WITH {_SIMS}, c AS (SELECT p_partkey AS item_id, p_brand AS brand, p_retailprice AS price, p_partkey % (SELECT count(*) FROM embeddings) AS vec_id FROM part WHERE p_retailprice <= 960),
+near AS (SELECT * FROM sims WHERE item_id IN (SELECT vec_id FROM c) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, item_id) <= 200),
 s AS (SELECT n.request_id, c.item_id, c.brand, round(100 * (0.07::DOUBLE * sim + 0.05::DOUBLE * price / 960) / (0.07::DOUBLE + 0.20::DOUBLE + 0.05::DOUBLE), 6) AS score FROM near n JOIN c ON c.vec_id = n.item_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) AS rk FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY request_id, brand ORDER BY rk) AS occ FROM r)
 SELECT request_id, rank, item_id, brand, round(score, 4) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY greatest(occ - 2, 0), rk) AS INT) AS rank FROM o WHERE occ <= 10) WHERE rank <= 10"""
@@ -96,9 +96,10 @@ def candidate_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("request_id", "n_items", R.pool_size(limit).alias("pool"), R.fetch_size(limit).alias("fetch"))
 
 
-PREDICATE_SQL = f"""WITH {CATALOG_SQL}, j AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 3 > 0 THEN 900 + c_custkey % 100 END AS budget, CASE c_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' END AS wanted, 'brand#' || c_custkey % 25 AS ref, k.* FROM customer JOIN catalog k ON k.size = c_custkey % 50 + 1)
-SELECT request_id, count(*) FILTER ((budget IS NULL OR price <= budget) AND item_id <> request_id AND NOT (contains(lower(brand), ref) OR contains(ref, lower(brand))) AND (wanted IS NULL OR gender IS NULL OR gender = 'unisex' OR gender = wanted)
- AND len(list_filter(list_concat(notes, accords), lambda x: regexp_matches(lower(x), '\\boud\\b') OR regexp_matches(lower(x), '\\bbergamot\\b'))) = 0) AS n_items, CAST(least(1000, greatest((request_id % 100 + 1) * 15, 500)) AS INT) AS pool, CAST(least(120, greatest(25, request_id % 100 + 21)) AS INT) AS fetch FROM j GROUP BY request_id"""
+PREDICATE_SQL = f"""WITH {CATALOG_SQL}, k AS (SELECT item_id, price, lower(brand) AS brand, gender FROM catalog WHERE len(list_filter(list_concat(notes, accords), lambda x: regexp_matches(lower(x), '\\boud\\b') OR regexp_matches(lower(x), '\\bbergamot\\b'))) = 0),
+r AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 3 > 0 THEN 900 + c_custkey % 100 END AS budget, CASE c_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' END AS wanted, 'brand#' || c_custkey % 25 AS ref FROM customer)
+SELECT request_id, count(item_id) AS n_items, CAST(least(1000, greatest((request_id % 100 + 1) * 15, 500)) AS INT) AS pool, CAST(least(120, greatest(25, request_id % 100 + 21)) AS INT) AS fetch FROM r LEFT JOIN k ON (budget IS NULL OR price <= budget) AND item_id <> request_id
+ AND NOT (contains(brand, ref) OR contains(ref, brand)) AND (wanted IS NULL OR gender IS NULL OR gender = 'unisex' OR gender = wanted) GROUP BY request_id"""
 
 
 def named_items(spark: SparkSession, sf_dir: str) -> DataFrame:
