@@ -36,10 +36,20 @@ def priority_fold(rows: DataFrame, key: str, fill: list[str] = (), union: list[s
     return joined.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
-def in_batch(batch: DataFrame, target: str) -> DataFrame:
-    """One row for each target: the highest priority, then the latest."""
-    order = Window.partitionBy(target).orderBy(F.desc(F.coalesce("source_priority", F.lit(0))), F.desc("load_order"))
-    return batch.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+def in_batch(batch: DataFrame, target: str, stored_priority: str, keep: list[str]) -> DataFrame:
+    """One row for each target, as if the batch's rows came one by one in load_order.
+
+    A row counts unless its priority is lower than the stored one or than that of a row before it. Of the rows that
+    count the last one gives each value, for ``keep`` columns the last one that is not null; a target that is not stored
+    has brand and item of its first row. Null priorities count as zero; ties of load_order go by the row's hash.
+    """
+    order = F.struct("load_order", F.xxhash64(*batch.columns))
+    priority = F.coalesce("source_priority", F.lit(0))
+    before = F.max(priority).over(Window.partitionBy(target).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    marked = batch.withColumns({"_order": order, "_floor": F.greatest(F.col(stored_priority), before)})
+    counting = marked.where(F.col("_floor").isNull() | (priority >= F.col("_floor")))
+    of = lambda c: F.min_by(c, "_order") if c in ("brand", "item") else F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))) if c in keep else F.max_by(c, "_order")
+    return counting.groupBy(target).agg(*[of(c).alias(c) for c in batch.columns if c != target])
 
 
 def resolve(batch: DataFrame, stored: DataFrame) -> DataFrame:
@@ -62,8 +72,8 @@ def merged_value(new: Column, old: Column, policy: str) -> Column:
 def merge(stored: DataFrame, batch: DataFrame, keep: list[str] = KEEP_OLD_IF_NULL, now: Column | None = None) -> DataFrame:
     """stored after an upsert of batch; both have the same columns but item_id, which batch lacks.
 
-    Rows are resolved, combined in the batch, gated by priority (lower than stored is skipped), and
-    updated: ``keep`` columns stay where the new value is null, all others take the new value;
+    Rows are resolved, and applied as if one by one in load_order: a priority lower than the present one is skipped, and
+    a later row finds an earlier new one by its key. For updates ``keep`` columns stay where the new value is null, all others take the new value;
     brand and item never change; an empty list is written as null. New rows get ids after the largest.
     ``updated_at``, where it exists, moves only if another column changed.
     """
@@ -72,11 +82,15 @@ def merge(stored: DataFrame, batch: DataFrame, keep: list[str] = KEEP_OLD_IF_NUL
     arrays = {c for c, t in batch.dtypes if t.startswith("array<string")}
     ready = resolve(batch, stored)
     ready = ready.withColumns({c: F.when(F.size(c) > 0, F.col(c)) for c in arrays}) if arrays else ready
-    target = F.coalesce(F.col("target_id").cast("string"), F.concat_ws("\u0001", "brand", "item"))
-    ready = in_batch(ready.withColumn("_target", target), "_target").drop("_target", "ambiguous")
+    # new rows meet by their key, unless several stored rows have it: then, and without a key, by brand and item
+    key = F.when(~F.col("ambiguous"), F.concat(F.lit("k"), F.col("normalized_key")))
+    target = F.coalesce(F.concat(F.lit("i"), F.col("target_id").cast("string")), key, F.concat_ws("\u0001", F.lit("n"), "brand", "item"))
+    held = stored.select(F.col("item_id").alias("target_id"), F.coalesce("source_priority", F.lit(0)).alias("_stored"))
+    ready = ready.withColumn("_target", target).join(held, "target_id", "left")
+    ready = in_batch(ready, "_target", "_stored", keep).drop("_target", "_stored", "ambiguous")
     hit = ready.where("target_id is not null").select("target_id", *[F.col(c).alias(f"_new_{c}") for c in columns if c in batch.columns])
     joined = stored.join(hit, stored["item_id"] == hit["target_id"], "left")
-    wins = F.col("target_id").isNotNull() & (F.coalesce(F.col("_new_source_priority"), F.lit(0)) >= F.coalesce(F.col("source_priority"), F.lit(0)))
+    wins = F.col("target_id").isNotNull()
     policy = lambda c: "keep" if c in keep else "new"
     value = {c: F.when(wins, merged_value(F.col(f"_new_{c}"), F.col(c), policy(c))).otherwise(F.col(c)) for c in columns if c in batch.columns and c not in ("brand", "item", "updated_at")}
     changed = wins & F.lit(False)

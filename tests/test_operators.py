@@ -132,3 +132,34 @@ def test_top_k_with_odd_vectors(spark):
     df = spark.createDataFrame(v, "item_id long, vec array<double>")
     got = [(r.item_id, round(r.sim, 4)) for r in R.top_k(df.where("item_id = 1").withColumnRenamed("item_id", "request_id"), df, 3).orderBy("rank").collect()]
     assert got == [(1, 1.0), (6, 1.0), (2, 0.7071)]
+
+
+def test_merge_against_row_by_row(spark):
+    """Several rows a target, several spellings a key, nulls: as a loop over the batch does it."""
+    import random
+
+    schema = "brand string, item string, price int, country string, kind string, source_priority int, normalized_key string"
+    rnd = random.Random(3)
+    names = [("Dior", "Sauvage"), ("dior", "sauvage!"), ("Dior", "SAUVAGE"), ("Creed", "Aventus"), ("creed", "aventus"), ("Zara", "Red"), ("zara", "red"), ("Zara", "red!")]
+    key = lambda b, i: f"{b.lower()}|{i.lower().strip('!')}"
+    maybe = lambda x: x if rnd.random() < 0.7 else None
+    row = lambda b, i: (b, i, maybe(rnd.randrange(100)), maybe(rnd.choice("xyz")), maybe(rnd.choice("kl")), rnd.choice([None, 0, 1, 2, 3]), key(b, i))
+    for _ in range(6):
+        held = [(n + 1, *row(*x)) for n, x in enumerate(rnd.sample(names, rnd.randint(0, 4)))]
+        batch = [(*row(*rnd.choice(names)), n) for n in range(14)]
+        want = {x[0]: list(x[1:]) for x in held}
+        for *r, _ in batch:
+            same = [k for k, v in want.items() if v[:2] == r[:2]]
+            known = [k for k, v in want.items() if r[6] is not None and v[6] == r[6]]
+            k = same[0] if same else known[0] if len(known) == 1 else None
+            if k is None:
+                want[max(want, default=0) + 1] = list(r)
+            elif (r[5] or 0) >= (want[k][5] or 0):
+                old = want[k]
+                want[k] = [*old[:2], *[n if n is not None else o for n, o in zip(r[2:4], old[2:4])], *r[4:]]
+        stored = spark.createDataFrame(held, "item_id long, " + schema)
+        out = D.merge(stored, spark.createDataFrame(batch, schema + ", load_order int")).collect()
+        assert len({r.item_id for r in out}) == len(out)
+        yes = lambda rows: sorted(map(str, rows))
+        got = yes(tuple(r[c] for c in ("brand", "item", "price", "country", "kind", "source_priority", "normalized_key")) for r in out)
+        assert got == yes(tuple(v) for v in want.values())
