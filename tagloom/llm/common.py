@@ -31,10 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and survives lost executors."""
+def materialize(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder, apart by the columns ``by``, and read it back: lineage is cut and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,22 +3,22 @@
 A text is its lower-cased words joined by blanks, with a line feed as end. Each
 byte is coded as eight binary decisions; each decision has its own context tree over the
 preceding bytes, and a node mixes its Krichevsky-Trofimov estimate with the product
-of its branches, at every depth, with the weights that the training texts give. A
-context becomes a node if it makes up at least 2**-16 of all training bytes, so a
-depth has at most 65,536 nodes, however large the corpus; the branches of a node that are too
-rare share one. For each node the distribution over the next byte is then fixed.
-
-The word baseline needs a count for each token of each text. Words that make up at
-least 2**-16 of all training tokens, at most 65,536, are broadcast with their counts; of
-all others the postings meet by word hash, and none of them can be hot. Postings and the
-sums that go back to the texts travel packed, one row for each bucket of words and chunk of texts.
+of its branches, at every depth, with the weights that the training texts give. Every
+context that occurs is a node: nothing is pruned, and the tree grows with the corpus.
+
+Texts are read in chunks. A chunk sends its different words and byte grams, each once, to
+their buckets; there the counts of all chunks meet. A bucket holds whole subtrees below
+contexts of two bytes and weights them from the leaves up; what the buckets say about
+contexts of one byte (at most 256 times 255 decisions) is summed by Spark and weighted in
+the driver. Then each bucket returns to each chunk the values of what that chunk sent,
+and the chunk's texts add them up. A frequent word or gram is one entry a chunk, so
+no key is hot, and a bucket's memory follows its different entries only.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,14 +32,19 @@ from .common import materialize, shuffle_width, text_chunks
 from .labelled import fold
 
 DEPTH = 5
-NODE_SHARE = 2.0**-16
-WORD_SHARE = 2.0**-16
 FOLDS, HELD_OUT = 10, 0
+_ROOT = 2  # bytes of context that name a subtree, which lies whole in one bucket
 _END = b"\n"
-_WORDS, _GRAMS = 0, 1
-_FLUSH = 1_500_000
-_CHUNK = 2 << 20  # bytes of text: what a worker holds codes and values for at once
-_BUCKET = 4 << 20  # tokens of the corpus for each bucket of rarer words, which is counted in memory
+_COUNTS, _WORDS, _GRAMS, _TEXTS = 0, 1, 2, 3
+_CHUNK = 16 << 20  # bytes of text whose words and grams are sent together
+_STEP = 2 << 20  # bytes of text that are coded at once
+_BUCKET = 8 << 20  # bytes of the corpus for each bucket
+_UNSEEN = math.log10(0.1)
+_ROW = "bucket int, kind int, chunk long, slot int, doc_id long, held_out boolean, n_tokens long, payload binary"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_TYPES = dict(zip(
+    [c.split()[0] for c in _ROW.split(", ")], [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+))
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -49,112 +54,113 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return series - np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
 
 
+_SMALL = 4096
+_HALF = _log_gamma(np.arange(_SMALL) + 0.5)
+_WHOLE = _log_gamma(np.arange(_SMALL) + 1.0)
+
+
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Logarithm of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    out = np.zeros(zeros.shape)
-    some = (zeros + ones) > 0
-    a, b = zeros[some].astype(float), ones[some].astype(float)
-    out[some] = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - math.log(math.pi)
+    """Logarithm of the Krichevsky-Trofimov probability of a sequence with these counts; small counts are looked up."""
+    n = zeros + ones
+    at = np.minimum(n, _SMALL - 1).astype(np.int64)
+    a, b = np.minimum(zeros, at).astype(np.int64), np.minimum(ones, at).astype(np.int64)
+    out = _HALF[a] + _HALF[b] - _WHOLE[at] - math.log(math.pi)
+    out[n == 0] = 0.0
+    big = n >= _SMALL
+    if big.any():
+        out[big] = _log_gamma(zeros[big] + 0.5) + _log_gamma(ones[big] + 0.5) - _log_gamma(n[big] + 1.0) - math.log(math.pi)
     return out
 
 
-def _sum_by(rows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, *rows.shape[1:]), rows.dtype)
-    if len(owner):
-        order = np.argsort(owner, kind="stable")
-        sorted_owner = owner[order]
-        first = np.flatnonzero(np.r_[True, sorted_owner[1:] != sorted_owner[:-1]])
-        out[sorted_owner[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+def _mix(here: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the weighted probability, and the share of it that a node's own estimate has."""
+    both = np.logaddexp(here, below) - math.log(2)
+    return both, np.exp(here - math.log(2) - both)
+
+
+def _own(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return (ones + 0.5) / (zeros + ones + 1.0)
 
 
-@dataclass
-class ContextTree:
-    """Sorted contexts of each depth, and log10 of the next byte's probability for each node."""
-
-    contexts: list[np.ndarray]
-    table: np.ndarray
-
-    @classmethod
-    def fit(cls, grams: pd.DataFrame, depth: int = DEPTH) -> "ContextTree":
-        """From rows (depth, code, n): code is the context's bytes, last in the low ones, then the byte itself."""
-        contexts, counts = [], []
-        kind = np.int32 if grams["n"].max() < 1 << 30 else np.int64
-        for d in range(depth + 1):
-            g = grams[grams["depth"] == d]
-            code = g["code"].to_numpy(np.int64)
-            keys, at = np.unique(code >> 8, return_inverse=True)
-            if d == 0 and not len(keys):
-                keys = np.zeros(1, np.int64)
-            c = np.zeros((len(keys), 256), kind)
-            c[at, code & 255] = g["n"].to_numpy(kind)
-            contexts.append(keys)
-            counts.append(c)
-        parent = [np.searchsorted(contexts[d - 1], contexts[d] & ((1 << 8 * (d - 1)) - 1)) for d in range(1, depth + 1)]
-        n = [len(k) for k in contexts]
-        other = [counts[d] - _sum_by(counts[d + 1], parent[d], n[d]) for d in range(depth)]
-        inner = [np.bincount(parent[d], minlength=n[d])[:, None] > 0 for d in range(depth)]
-        logs = [np.zeros((k, 256), np.float32) for k in n]
-
-        def halves(c: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
-            """Zeros and ones of each binary decision at this bit."""
-            both = c.reshape(len(c), 1 << bit, 2, 128 >> bit).sum(3, dtype=np.int64)
-            return both[:, :, 0], both[:, :, 1]
+class Subtrees:
+    """All nodes of ``_ROOT`` and more bytes above the grams of a bucket: ``codes`` sorted and different, ``n`` their counts.
 
+    A code holds the byte before the coded one highest, then the one before that, .. and the coded byte lowest.
+    """
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, depth: int):
+        self.codes, self.n, self.depth = codes, n, depth
+
+    def _up(self, bit: int):
+        """Per depth from the deepest (zeros, ones, own share, index of the parent of each), then keys and logs at ``_ROOT``."""
+        symbol = self.codes & 255
+        at, key = pd.factorize(self.codes >> 8 << bit | symbol >> (8 - bit))
+        ones = np.bincount(at, self.n * (symbol >> (7 - bit) & 1), len(key))
+        zeros = np.bincount(at, self.n, len(key)) - ones
+        log, share, steps = _log_kt(zeros, ones), np.ones(len(key)), []
+        for _ in range(self.depth - _ROOT):
+            parent, above = pd.factorize(key >> (bit + 8) << bit | key & ((1 << bit) - 1))
+            steps.append((zeros, ones, share, parent))
+            zeros, ones = np.bincount(parent, zeros, len(above)), np.bincount(parent, ones, len(above))
+            log, share = _mix(_log_kt(zeros, ones), np.bincount(parent, log, len(above)))
+            key = above
+        steps.append((zeros, ones, share, None))
+        return at, steps, key, log
+
+    def roots(self) -> tuple[np.ndarray, np.ndarray]:
+        """(decisions of contexts one byte shorter than the roots, [zeros, ones, sum of the logs of their branches])."""
+        keys, rows = [], []
         for bit in range(8):
-            stop, weighted = [], None
-            for d in range(depth, -1, -1):  # from the deepest nodes up: how much a node trusts its own estimate
-                here = _log_kt(*halves(counts[d], bit))
-                if d == depth:
-                    weighted, stopped = here, np.ones(here.shape, np.float32)
-                else:
-                    below = _sum_by(weighted, parent[d], n[d]) + _log_kt(*halves(other[d], bit))
-                    mixed = np.logaddexp(here, below) - math.log(2)
-                    weighted = np.where(inner[d], mixed, here)
-                    stopped = np.where(inner[d], np.exp(here - math.log(2) - mixed), 1.0).astype(np.float32)
-                stop.insert(0, stopped)
-            so_far, left = None, None
-            for d in range(depth + 1):  # down again: the mixture at each node
-                zero, one = halves(counts[d], bit)
-                before, rest = (0.0, 1.0) if d == 0 else (so_far[parent[d - 1]], left[parent[d - 1]])
-                so_far, left = before + rest * stop[d] * ((one + 0.5) / (zero + one + 1)), rest * (1.0 - stop[d])
-                p = so_far
-                if d < depth:
-                    zero, one = halves(other[d], bit)
-                    p = so_far + left * ((one + 0.5) / (zero + one + 1))
-                both = np.stack([np.log10(1 - p), np.log10(p)], 2).astype(np.float32).reshape(n[d], 2 << bit)
-                logs[d] += np.repeat(both, 128 >> bit, axis=1)
-        return cls(contexts, np.concatenate(logs))
-
-    def states(self, codes: np.ndarray) -> np.ndarray:
-        """Row of ``table`` of the deepest node for each context code."""
-        out = np.full(len(codes), -1, np.int64)
-        base = sum(len(k) for k in self.contexts)
-        for d in range(len(self.contexts) - 1, -1, -1):
-            base -= len(self.contexts[d])
-            if not len(self.contexts[d]):
-                continue
-            open_ = np.flatnonzero(out < 0)
-            key = codes[open_] & ((1 << 8 * d) - 1)
-            at = np.minimum(np.searchsorted(self.contexts[d], key), len(self.contexts[d]) - 1)
-            hit = self.contexts[d][at] == key
-            out[open_[hit]] = base + at[hit]
+            _, steps, key, log = self._up(bit)
+            zeros, ones = steps[-1][:2]
+            above = key >> (bit + 8) << 8 | 1 << bit | key & ((1 << bit) - 1)
+            at, k = pd.factorize(above)
+            keys.append(k)
+            rows.append(np.stack([np.bincount(at, x, len(k)) for x in (zeros, ones, log)], 1))
+        return np.concatenate(keys), np.concatenate(rows)
+
+    def values(self, so_far: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """log10 of the mixture over all depths for each code, given the mixture and the share left above the roots."""
+        out = np.zeros(len(self.codes))
+        for bit in range(8):
+            at, steps, key, _ = self._up(bit)
+            above = key >> (bit + 8) << 8 | 1 << bit | key & ((1 << bit) - 1)
+            p, rest = so_far[above], left[above]
+            for zeros, ones, share, parent in reversed(steps):
+                if parent is not None:
+                    p, rest = p[parent], rest[parent]
+                p, rest = p + rest * share * _own(zeros, ones), rest * (1.0 - share)
+            p, one = p[at], (self.codes >> (7 - bit) & 1).astype(bool)
+            out += np.log10(np.where(one, p, 1.0 - p))
         return out
 
 
-def _codes(texts: list[bytes], depth: int) -> np.ndarray:
-    """For each byte of the texts its code: the byte, with the ``depth`` bytes before it above; line feeds stand before a text."""
+def weigh_top(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mixture and share left after the contexts of no and of one byte, for each of 256 x 256 decisions."""
+    zeros, ones, below = np.zeros((3, 256 * 256))
+    zeros[keys], ones[keys], below[keys] = rows.T
+    log, share = _mix(_log_kt(zeros, ones), below)
+    all_zeros, all_ones, all_below = (x.reshape(256, 256).sum(0) for x in (zeros, ones, log))
+    _, top = _mix(_log_kt(all_zeros, all_ones), all_below)
+    so_far, left = np.tile(top * _own(all_zeros, all_ones), 256), np.tile(1.0 - top, 256)
+    return so_far + left * share * _own(zeros, ones), left * (1.0 - share)
+
+
+def _grams(texts: list[bytes], depth: int, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(code, index of the text) of every byte, some at a time; line feeds stand before a text."""
     pad = _END * depth
     flat = np.frombuffer(pad + pad.join(texts), np.uint8)
-    valid = np.ones(len(flat), bool)
-    ends = np.cumsum([len(t) + depth for t in texts])
-    for j in range(depth):
-        valid[np.r_[0, ends[:-1]] + j] = False
-    at = np.flatnonzero(valid)
-    out = np.zeros(len(at), np.int64)
-    for j in range(depth + 1):
-        out |= flat[at - j].astype(np.int64) << (8 * j)
-    return out
+    ends = np.cumsum([len(t) for t in texts])
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, step):
+        hi = min(lo + step, int(ends[-1]))
+        first, last = np.searchsorted(ends, [lo, hi - 1], "right")
+        inside = np.diff(np.clip(np.r_[ends[first : last + 1]], lo, hi), prepend=lo)
+        of = np.repeat(np.arange(first, last + 1), inside)
+        at = np.arange(lo, hi) + (of + 1) * depth
+        code = flat[at].astype(np.int64)
+        for j in range(1, depth + 1):
+            code |= flat[at - j].astype(np.int64) << (8 * (depth - j + 1))
+        yield code, of
 
 
 def _words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
@@ -163,8 +169,8 @@ def _words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
     return [w for ws in split for w in ws], np.array([len(ws) for ws in split], np.int64)
 
 
-def _distinct(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of each word among the distinct, 64-bit hash of each distinct word)."""
+def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(index of each word among the different ones, 64-bit hash of each different word)."""
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     coded = pa.array(words, pa.large_binary()).dictionary_encode()
@@ -177,209 +183,242 @@ def _canonical(words: list[bytes], sizes: np.ndarray) -> list[bytes]:
     return [b" ".join(words[a:b]) + _END for a, b in zip((ends - sizes).tolist(), ends.tolist())]
 
 
-def _payload_rows(chunks: np.ndarray, packed: list[bytes]) -> pa.RecordBatch:
-    """Rows that carry packed values for these chunks, in the columns of the rows of texts."""
-    k = len(packed)
-    nulls = {"slot": pa.int32(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
-    return pa.record_batch({"chunk": pa.array(chunks), **{c: pa.nulls(k, t) for c, t in nulls.items()}, "payload": pa.array(packed, pa.binary())})
+def _add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, with the sums of their counts."""
+    key, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def count_training(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(kind, code, n) over all training documents: counts of words and of byte grams."""
+class _Held:
+    """Counts by key that are added up whenever they have doubled."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {_WORDS: [], _GRAMS: []}
+    def __init__(self):
+        self.parts, self.size, self.settled = [], 0, 0
+
+    def add(self, key: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((key, n.astype(np.int64)))
+        self.size += len(key)
+        if self.size > 2 * self.settled + 500_000:
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.parts:
+            self.parts = [_add_up(self.parts)]
+            self.size = self.settled = len(self.parts[0][0])
+        return self.parts[0] if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
-        def merge(kind: int) -> tuple[np.ndarray, np.ndarray]:
-            code, n = (np.concatenate(x) for x in zip(*held[kind]))
-            order = np.argsort(code)
-            code, n = code[order], n[order]
-            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-            return code[first], np.add.reduceat(n, first)
 
-        def rows(kind: int) -> pa.RecordBatch:
-            code, n = merge(kind)
-            held[kind] = []
-            return pa.record_batch({"kind": pa.array(np.full(len(code), kind, np.int32)), "code": pa.array(code), "n": pa.array(n)})
+def _pack(key: np.ndarray, value: np.ndarray | None = None) -> bytes:
+    """Sorted keys as differences, then values, each byte by byte, which compresses well."""
+    return _planes(np.diff(key, prepend=0)) + (b"" if value is None else _planes(value))
 
-        for b in text_chunks(batches, "text", _CHUNK):
+
+def _unpack(packed: bytes, kind: str | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    size = np.dtype(kind).itemsize if kind else 0
+    n = len(packed) // (8 + size)
+    raw = np.frombuffer(packed, np.uint8)
+    key = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<i8").ravel().cumsum()
+    return key, np.ascontiguousarray(raw[8 * n :].reshape(size, n).T).view(kind).ravel() if kind else None
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    k = max(len(c) for c in columns.values())
+    given = {c: x if isinstance(x, pa.Array) else pa.array(x, _TYPES[c]) for c, x in columns.items()}
+    return pa.record_batch([given.get(c, pa.nulls(k, t)) for c, t in _TYPES.items()], list(_TYPES))
+
+
+def _bucket_of(kind: int, key: np.ndarray, buckets: int, depth: int) -> np.ndarray:
+    if kind == _GRAMS:  # by the root of the subtree
+        key = key >> (8 * (depth - _ROOT) + 8)
+    mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def send_chunks(docs: DataFrame, buckets: int, depth: int, chunk_bytes: int, step: int) -> DataFrame:
+    """Rows of texts by chunk; for each chunk, kind and bucket a row with the words or grams, and their counts in training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        held = {_WORDS: _Held(), _GRAMS: _Held()}
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            for kind, h in held.items():
+                key, n = h.total()
+                bucket = _bucket_of(kind, key, buckets, depth)
+                order = np.argsort(bucket, kind="stable")
+                key, n, bucket = key[order], n[order], bucket[order]
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                packed = [_pack(key[a:b], n[a:b].astype("<u4")) for a, b in zip(cuts, [*cuts[1:], len(key)])]
+                yield _rows(bucket=bucket[cuts], kind=np.full(len(cuts), kind), chunk=np.full(len(cuts), chunk), payload=packed)
+                held[kind] = _Held()
+
+        for b in text_chunks(batches, "text", step):
             words, sizes = _words(b.column("text").to_pylist())
-            at, hashes = _distinct(words)
-            if len(at):
-                held[_WORDS].append((hashes, np.bincount(at, minlength=len(hashes))))
-            found, code = pd.factorize(_codes(_canonical(words, sizes), depth))
-            held[_GRAMS].append((code, np.bincount(found, minlength=len(code))))
-            for kind, parts in held.items():
-                if sum(len(c) for c, _ in parts) > _FLUSH:
-                    held[kind] = [merge(kind)]
-                    if len(held[kind][0][0]) > _FLUSH // 2:
-                        yield rows(kind)
-        for kind, parts in held.items():
-            if parts:
-                yield rows(kind)
-
-    train = docs.where(fold(FOLDS) != HELD_OUT).select("text")
-    return train.mapInArrow(run, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
-
-
-def fit_tree(counts: DataFrame, depth: int = DEPTH, share: float = NODE_SHARE) -> ContextTree:
-    """Counts of all contexts that become nodes are bounded, so they go to the driver."""
-    grams = counts.where(F.col("kind") == _GRAMS)
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    masks = F.array(*[F.lit((1 << 8 * (d + 1)) - 1).cast("long") for d in range(depth + 1)])
-    by_depth = (
-        grams.select(F.posexplode(masks).alias("depth", "mask"), "code", "n")
-        .groupBy("depth", F.col("code").bitwiseAND(F.col("mask")).alias("code")).agg(F.sum("n").alias("n"))
-    )
-    size = by_depth.groupBy("depth", F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("size"))
-    nodes = size.where(F.col("size") >= total * share).select("depth", "context")
-    kept = by_depth.withColumn("context", F.shiftright("code", 8)).join(nodes, ["depth", "context"], "left_semi")
-    return ContextTree.fit(kept.select("depth", "code", "n").toPandas(), depth)
-
-
-def lm_scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+            train = ~b.column("held_out").to_numpy(zero_copy_only=False)
+            texts = _canonical(words, sizes)
+            at, hashes = _hashes(words)
+            held[_WORDS].add(hashes, np.bincount(at, np.repeat(train, sizes), len(hashes)))
+            for code, of in _grams(texts, depth, step):
+                found, different = pd.factorize(code)
+                held[_GRAMS].add(different, np.bincount(found, train[of], len(different)))
+            rows = len(texts)
+            yield _rows(kind=np.full(rows, _TEXTS), chunk=np.full(rows, chunk), doc_id=b.column("doc_id"), held_out=b.column("held_out"), n_tokens=sizes + 1, payload=texts)
+            size += sum(map(len, texts))
+            if size >= chunk_bytes:
+                yield from settle()
+                chunk, size = chunk + 1, 0
+        if size:
+            yield from settle()
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(FOLDS) == HELD_OUT).alias("held_out"))
+    return keyed.mapInArrow(run, _ROW)
+
+
+def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, int, bytes]]:
+    for b in batches:
+        yield from zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "chunk", "slot", "payload")))
+
+
+def count_buckets(sent: DataFrame, buckets: int, depth: int) -> DataFrame:
+    """For each bucket and kind one row of kind ``_COUNTS``, ``slot`` telling which, with all keys and their counts.
+
+    For words ``n_tokens`` holds how many occur in training texts and ``doc_id`` how often all of them do. Rows
+    of kind ``_GRAMS`` hold what the bucket adds to the contexts of one byte.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, _Held()
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            bucket, kind = current
+            key, n = held.total()
+            one = {"bucket": [bucket], "kind": [_COUNTS], "slot": [kind], "payload": [_pack(key, n.astype("<i8"))]}
+            if kind == _WORDS:
+                yield _rows(**one, n_tokens=[int((n > 0).sum())], doc_id=[int(n.sum())])
+            else:
+                yield _rows(**one)
+                keys, rows = Subtrees(key, n, depth).roots()
+                yield _rows(kind=np.full(len(keys), _GRAMS), slot=keys, payload=[r.tobytes() for r in rows])
+
+        for bucket, kind, _, _, packed in _packed_rows(batches):
+            if (bucket, kind) != current:
+                if current:
+                    yield from settle()
+                current, held = (bucket, kind), _Held()
+            held.add(*_unpack(packed, "<u4"))
+        if current:
+            yield from settle()
+
+    return sent.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, _ROW)
+
+
+def lm_scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = _CHUNK, step: int = _STEP) -> DataFrame:
     """One row per row of docs(doc_id, text, ..): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Trained on the documents outside the held-out fold. ``score`` is the log10 probability of
     the lower-cased words with single blanks and an end; base_score that of the smoothed word
     counts. Null and blank texts have the end alone. A null doc_id is in the fold of the
     empty text; repeated rows each count and get equal scores; an empty table gives no rows.
+    Texts are coded ``step`` bytes at a time, so that very long ones need no more memory than they have bytes. Other columns are ignored, whatever their names.
     """
-    counts = materialize(count_training(docs, depth), "counts")
-    words = counts.where(F.col("kind") == _WORDS)
-    n_docs = docs.where(fold(FOLDS) != HELD_OUT).count()
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n_train, vocabulary = total + n_docs, distinct + (n_docs > 0)
-    scale = math.log10(n_train + 0.1 * (vocabulary + 1))
-    frequent = words.where(F.col("n") >= max(1, n_train) * WORD_SHARE).select("code", "n").toPandas().sort_values("code")
+    if not _ROOT < depth <= 6:
+        raise ValueError("depth must be 3 to 6")
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((fit_tree(counts, depth), frequent["code"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
-    buckets = max(shuffle_width(spark), n_train // _BUCKET)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text, and for each chunk and bucket one with the postings of its rarer words."""
-        tree, known, known_n = sent.value
-        uid = TaskContext.get().partitionId() << 40
-        for b in text_chunks(batches, "text", _CHUNK):
-            words, sizes = _words(b.column("text").to_pylist())
-            at, hashes = _distinct(words)
-            rows = b.num_rows
-            train = ~b.column("held_out").to_numpy(zero_copy_only=False)
-            texts = _canonical(words, sizes)
-            code = _codes(texts, depth)
-            found, context = pd.factorize(code >> 8)
-            value = tree.table[tree.states(context)[found], code & 255].astype(float)
-            model = np.add.reduceat(value, np.r_[0, np.cumsum([len(t) for t in texts])[:-1]])
-            doc = np.repeat(np.arange(rows), sizes)
-            place = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
-            common = known[place] == hashes if len(known) else np.zeros(len(hashes), bool)
-            c = known_n[place] if len(known) else np.zeros(len(hashes), np.int64)
-            own = np.where(common, np.log10(np.where(common, c, 0) + 0.1), 0.0)
-            base = np.bincount(doc, own[at], rows) + math.log10(n_docs + 0.1)
-            sure = np.bincount(doc, common[at], rows).astype(np.int64) + (n_docs > 0)
-            ids = uid + np.arange(rows)
-            uid += rows
-            yield pa.record_batch({
-                "bucket": pa.array(ids % buckets, pa.int32()), "chunk": pa.array(np.full(rows, ids[0])), "slot": pa.array(np.arange(rows, dtype=np.int32)), "doc_id": b.column("doc_id"), "held_out": b.column("held_out"),
-                "n_tokens": pa.array(sizes + 1), "n_known": pa.array(sure), "base": pa.array(base), "score": pa.array(model), "payload": pa.nulls(rows, pa.binary()),
-            })
-            rare = np.flatnonzero(~common[at])
-            pair, times = np.unique(at[rare] * rows + doc[rare], return_counts=True)
-            word, of = pair // rows, pair % rows
-            bucket = (hashes.view(np.uint64) % np.uint64(buckets)).astype(np.int64)[word]
-            order = np.argsort(bucket, kind="stable")
-            word, of, times, bucket = word[order], of[order], times[order], bucket[order]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-            packed = []
-            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
-                w = word[lo:hi]
-                first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-                reps = np.diff(np.r_[first, hi - lo])
-                trained = train[of[lo:hi]]
-                head = np.array([len(first), hi - lo], "<i8").tobytes()
-                packed.append(head + hashes[w[first]].tobytes() + reps.astype("<u4").tobytes() + of[lo:hi].astype("<u4").tobytes() + times[lo:hi].astype("<u4").tobytes() + trained.tobytes())
-            sent_rows = _payload_rows(np.full(len(cuts), ids[0]), packed)
-            yield pa.record_batch([pa.array(bucket[cuts], pa.int32()), *sent_rows.columns], ["bucket", *sent_rows.schema.names])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Count each rare word over all postings of its bucket; send every chunk the shares of its texts."""
-        current, held = None, []
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            chunks, hashes, slots, times, trained = zip(*held)
-            held.clear()
-            h, n = np.concatenate(hashes), np.where(np.concatenate(trained), np.concatenate(times), 0).astype(np.int64)
-            order = np.argsort(h)
-            sorted_h = h[order]
-            first = np.flatnonzero(np.r_[True, sorted_h[1:] != sorted_h[:-1]])
-            c = np.empty(len(h), np.int64)
-            c[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.r_[first, len(h)]))
-            value, packed, lo = np.log10(c + 0.1), [], 0
-            for slot, t in zip(slots, times):
-                hi = lo + len(slot)
-                text, at = np.unique(slot, return_inverse=True)
-                base, sure = np.bincount(at, t * value[lo:hi]), np.bincount(at, np.where(c[lo:hi] > 0, t, 0))
-                packed.append(base.astype("<f8").tobytes() + sure.astype("<i8").tobytes() + text.astype("<u4").tobytes())
-                lo = hi
-            yield _payload_rows(np.array(chunks, np.int64), packed)
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(shuffle_width(spark), n_bytes // _BUCKET)
+    sent = materialize(send_chunks(docs, buckets, depth, chunk_bytes, step), "sent", "kind")
+    postings, texts = sent.where(F.col("kind") != _TEXTS), sent.where(F.col("kind") == _TEXTS)
+    counts = materialize(count_buckets(postings.select(*_TYPES), buckets, depth), "counts", "kind")
+    n_docs = texts.where("not held_out").count()
+    merged = counts.where(F.col("kind") == _COUNTS)
+    of_words = merged.where(F.col("slot") == _WORDS)
+    total, distinct = of_words.agg(F.coalesce(F.sum("doc_id"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    n_train, vocabulary = total + n_docs, distinct + (n_docs > 0)
+    scale, end = math.log10(n_train + 0.1 * (vocabulary + 1)), math.log10(n_docs + 0.1)
+    top = _sum_tops(counts.where(F.col("kind") == _GRAMS)).toPandas()
+    above = spark.sparkContext.broadcast(weigh_top(top["slot"].to_numpy(), top[["zeros", "ones", "below"]].to_numpy(float)))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of a bucket come first, its words, then its grams; then what each chunk sent gets its values."""
+        current, known = None, {}
+        for bucket, kind, chunk, slot, packed in _packed_rows(batches):
+            if bucket != current:
+                current, known = bucket, {}
+            if kind == _COUNTS:
+                key, n = _unpack(packed, "<i8")
+                known[slot] = (key, np.log10(n + 0.1) if slot == _WORDS else Subtrees(key, n, depth).values(*above.value).astype("<f4"))
+                continue
+            key, _ = _unpack(packed, "<u4")
+            all_keys, value = known[kind]
+            yield _rows(kind=[kind], chunk=[chunk], payload=[_pack(key, value[np.searchsorted(all_keys, key)])])
 
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Values of a chunk come first, then its texts."""
+        current, got, tables = None, {}, None
         for b in batches:
-            payload = b.column("payload")
-            texts = b.filter(payload.is_null())
-            if texts.num_rows:
-                yield texts.select(texts.schema.names[1:])
-            for bucket, chunk, p in zip(b.column("bucket").to_pylist(), b.column("chunk").to_pylist(), payload.to_pylist()):
-                if p is None:
+            kinds, chunks = b.column("kind").to_numpy(), b.column("chunk").to_numpy()
+            for lo, hi in _runs(kinds, chunks):
+                part = b.slice(lo, hi - lo)
+                if chunks[lo] != current:
+                    current, got, tables = chunks[lo], {_WORDS: [], _GRAMS: []}, None
+                if kinds[lo] != _TEXTS:
+                    got[kinds[lo]] += [_unpack(p, "<f8" if kinds[lo] == _WORDS else "<f4") for p in part.column("payload").to_pylist()]
                     continue
-                if bucket != current:
-                    yield from settle()
-                    current = bucket
-                distinct, n = np.frombuffer(p, "<i8", 2)
-                o = 16
-                hashes = np.frombuffer(p, "<i8", distinct, o)
-                reps = np.frombuffer(p, "<u4", distinct, o := o + 8 * distinct)
-                slot = np.frombuffer(p, "<u4", n, o := o + 4 * distinct)
-                times = np.frombuffer(p, "<u4", n, o := o + 4 * n)
-                held.append((chunk, np.repeat(hashes, reps), slot, times, np.frombuffer(p, bool, n, o + 4 * n)))
-        yield from settle()
+                if tables is None:
+                    tables, got = {k: _sorted_table(v) for k, v in got.items()}, {}
+                for piece in text_chunks([part], "payload", step):
+                    yield score(piece, tables)
+
+    def score(b: pa.RecordBatch, tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        texts, rows = b.column("payload").to_pylist(), b.num_rows
+        split = [t.split() for t in texts]
+        at, hashes = _hashes([w for ws in split for w in ws])
+        key, value = tables[_WORDS]
+        value = value[np.searchsorted(key, hashes)][at]
+        of = np.repeat(np.arange(rows), [len(ws) for ws in split])
+        n_tokens = b.column("n_tokens").to_numpy()
+        known = np.bincount(of, value > _UNSEEN / 2, rows).astype(np.int64) + (n_docs > 0)
+        base = np.bincount(of, value, rows) + end - n_tokens * scale
+        model, (key, value) = np.zeros(rows), tables[_GRAMS]
+        for code, of in _grams(texts, depth, step):
+            found, different = pd.factorize(code)
+            model += np.bincount(of, value[np.searchsorted(key, different)][found], rows)
+        return pa.record_batch({
+            "doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "n_tokens": b.column("n_tokens"), "n_known": pa.array(known),
+            "train_tokens": pa.array(np.full(rows, n_train)), "base_score": pa.array(base), "score": pa.array(model),
+        })
+
+    asked = merged.select(*_TYPES).unionByName(postings.select(*_TYPES))
+    values = asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, _ROW)
+    return values.unionByName(texts.select(*_TYPES)).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(finish, _SCORES)
+
+
+def _sum_tops(rows: DataFrame) -> DataFrame:
+    """(slot, zeros, ones, below): at most 256 x 255 rows."""
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Add to the texts of a chunk what its buckets sent; the rows of a chunk stand together."""
-        current, texts, base, sure = None, [], np.zeros(0), np.zeros(0, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column("payload").to_pylist()), "<f8").reshape(-1, 3)
+            yield pa.record_batch([b.column("slot"), *(pa.array(c) for c in x.T.copy())], ["slot", "zeros", "ones", "below"])
 
-        def settle() -> Iterator[pa.RecordBatch]:
-            for t in texts:
-                slot, n_tokens = t.column("slot").to_numpy(), t.column("n_tokens").to_numpy()
-                yield pa.record_batch({
-                    "doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": t.column("n_tokens"), "n_known": pa.array(t.column("n_known").to_numpy() + sure[slot]),
-                    "train_tokens": pa.array(np.full(len(slot), n_train)), "base_score": pa.array(t.column("base").to_numpy() + base[slot] - n_tokens * scale), "score": t.column("score"),
-                })
+    split = rows.select("slot", "payload").mapInArrow(run, "slot int, zeros double, ones double, below double")
+    return split.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
 
-        for b in batches:
-            chunk = b.column("chunk").to_numpy()
-            cuts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else []
-            for lo, hi in zip(cuts, [*cuts[1:], len(chunk)]):
-                if chunk[lo] != current:
-                    yield from settle()
-                    current, texts, base, sure = chunk[lo], [], np.zeros(0), np.zeros(0, np.int64)
-                part = b.slice(lo, hi - lo)
-                own = part.filter(part.column("payload").is_null())
-                packed = part.column("payload").drop_null().to_pylist()
-                if own.num_rows:
-                    texts.append(own)
-                sums = [(np.frombuffer(p, "<u4", len(p) // 20, len(p) // 20 * 16), p) for p in packed]
-                most = max([len(base), *(int(slot[-1]) + 1 for slot, _ in sums), *([int(own.column("slot").to_numpy().max()) + 1] if own.num_rows else [])])
-                base, sure = np.pad(base, (0, most - len(base))), np.pad(sure, (0, most - len(sure)))
-                for slot, p in sums:
-                    base[slot] += np.frombuffer(p, "<f8", len(slot))
-                    sure[slot] += np.frombuffer(p, "<i8", len(slot), 8 * len(slot))
-        yield from settle()
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(FOLDS) == HELD_OUT).alias("held_out"))
-    row = "chunk long, slot int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, payload binary"
-    scored = keyed.mapInArrow(score, f"bucket int, {row}")
-    parts = scored.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, row)
-    result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(finish, result)
+def _runs(kinds: np.ndarray, chunks: np.ndarray) -> Iterator[tuple[int, int]]:
+    if len(kinds):
+        cuts = np.flatnonzero(np.r_[True, (kinds[1:] != kinds[:-1]) | (chunks[1:] != chunks[:-1])])
+        yield from zip(cuts.tolist(), [*cuts[1:].tolist(), len(kinds)])
+
+
+def _sorted_table(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, value = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0))
+    order = np.argsort(key)
+    return key[order], value[order].astype(float)

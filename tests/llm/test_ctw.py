@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tagloom.llm.ctw import ContextTree, lm_scores
+from tagloom.llm.ctw import Subtrees, _log_kt, _pack, _unpack, lm_scores, weigh_top
 
 
 def log_kt(a, b):
@@ -59,28 +59,58 @@ def plain_probability(grams, nodes, depth, context, byte):
     return total
 
 
+def code_of(context, byte):
+    return int.from_bytes(context[::-1] + bytes([byte]), "big")
+
+
 def test_tree_against_definition():
     rnd = random.Random(2)
     depth, data = 3, bytes(rnd.choice(b"abca bb") for _ in range(400))
     grams = Counter((data[i - depth : i], data[i]) for i in range(depth, len(data)))
-    sizes = Counter()
-    for (c, _), n in grams.items():
-        for d in range(depth + 1):
-            sizes[c[depth - d :]] += n
-    nodes = {c for c, n in sizes.items() if n >= 12}
-    rows = Counter()
-    for (c, x), n in grams.items():
-        for d in range(depth + 1):
-            s = c[depth - d :]
-            if s in nodes:
-                rows[d, int.from_bytes(s, "big") << 8 | x] += n
-    frame = pd.DataFrame([(d, c, n) for (d, c), n in rows.items()], columns=["depth", "code", "n"])
-    tree = ContextTree.fit(frame, depth)
-    assert np.allclose((10.0 ** tree.table.astype(float)).sum(1), 1, atol=1e-5)
-    for context in (b"abc", b"bca", b"zzz", b"  b", b"zab"):
-        state = tree.states(np.array([int.from_bytes(context, "big")]))[0]
-        for byte in b"abc z":
-            assert 10.0 ** float(tree.table[state, byte]) == pytest.approx(plain_probability(grams, nodes, depth, context, byte), rel=1e-4)
+    nodes = {c[depth - d :] for c, _ in grams for d in range(depth + 1)}
+    asked = {code_of(c, x): (c, x) for c in (b"abc", b"bca", b"zzz", b"  b", b"zab") for x in b"abc z"}
+    counts = {**dict.fromkeys(asked, 0), **{code_of(*g): n for g, n in grams.items()}}
+    code = np.array(sorted(counts))
+    halves = [code[code >> 24 < 98], code[code >> 24 >= 98]]  # two buckets
+    trees = [Subtrees(h, np.array([counts[c] for c in h.tolist()]), depth) for h in halves]
+    parts = pd.concat([pd.DataFrame(r, index=k) for k, r in (t.roots() for t in trees)])
+    top = parts.groupby(level=0).sum()
+    above = weigh_top(top.index.to_numpy(), top.to_numpy())
+    value = {c: v for t in trees for c, v in zip(t.codes.tolist(), t.values(*above))}
+    for c, (context, byte) in asked.items():
+        assert 10.0 ** value[c] == pytest.approx(plain_probability(grams, nodes, depth, context, byte), rel=1e-9)
+
+
+def test_kt_looks_up_as_it_computes():
+    n = np.array([0, 1, 2, 100, 4094, 4095, 4096, 5000, 10**6], float)
+    a, b = (x.ravel() for x in np.meshgrid(n, n))
+    expected = [math.lgamma(x + 0.5) + math.lgamma(y + 0.5) - math.lgamma(x + y + 1) - math.log(math.pi) for x, y in zip(a, b)]
+    assert np.allclose(_log_kt(a, b), expected, atol=1e-8)
+
+
+def test_packing_round_trip():
+    key = np.array([-(2**63), -5, 0, 7, 2**63 - 1])
+    got, n = _unpack(_pack(key, np.arange(5).astype("<u4")), "<u4")
+    assert got.tolist() == key.tolist() and n.tolist() == [0, 1, 2, 3, 4]
+    assert [len(x) for x in _unpack(_pack(key[:0], np.zeros(0, "<f8")), "<f8")] == [0, 0]
+
+
+def test_scores_in_any_chunks(spark):
+    """The whole chain against the definition, with texts cut in steps; chunks, buckets and partitions change nothing."""
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choices(["ab", "ba", "Abc", "c"], k=rnd.randint(1, 12))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = [" ".join(t.lower().split()).encode() + b"\n" for t in texts]
+    grams = Counter()
+    for i, t in enumerate(plain):
+        if zlib.crc32(str(i).encode()) % 10:
+            grams.update(((b"\n" * 3 + t)[j : j + 3], t[j]) for j in range(len(t)))
+    nodes = {c[3 - d :] for c, _ in grams for d in range(4)}
+    chance = cache(lambda c, x: math.log10(plain_probability(grams, nodes, 3, c, x)))
+    expected = [sum(chance((b"\n" * 3 + t)[j : j + 3], t[j]) for j in range(len(t))) for t in plain]
+    for parts, chunk, step in ((1, 16 << 20, 2 << 20), (5, 40, 7)):
+        got = {r.doc_id: r.score for r in lm_scores(df.repartition(parts), 3, chunk, step).collect()}
+        assert [got[i] for i in range(40)] == pytest.approx(expected, rel=1e-5)
 
 
 def test_scores_against_plain(spark):
