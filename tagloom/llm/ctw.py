@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,12 +40,10 @@ _COUNTS, _WORDS, _GRAMS, _TEXTS = 0, 1, 2, 3
 _CHUNK = 16 << 20  # bytes of text whose words and grams are sent together
 _STEP = 2 << 20  # bytes of text that are coded at once
 _BUCKET = 8 << 20  # bytes of the corpus for each bucket
-_UNSEEN = math.log10(0.1)
-_ROW = "bucket int, kind int, chunk long, slot int, doc_id long, held_out boolean, n_tokens long, payload binary"
+_ROW = "bucket int, kind int, chunk long, slot int, distinct long, total long, payload binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_TYPES = dict(zip(
-    [c.split()[0] for c in _ROW.split(", ")], [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
-))
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+_TYPES = {c: _ARROW[t] for c, t in (x.split() for x in _ROW.split(", "))}
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -215,17 +214,23 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
-def _pack(key: np.ndarray, value: np.ndarray | None = None) -> bytes:
+def _pack(key: np.ndarray, value: np.ndarray) -> bytes:
     """Sorted keys as differences, then values, each byte by byte, which compresses well."""
-    return _planes(np.diff(key, prepend=0)) + (b"" if value is None else _planes(value))
+    return zstandard.compress(_planes(np.diff(key, prepend=0)) + _planes(value), 1)
 
 
-def _unpack(packed: bytes, kind: str | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    size = np.dtype(kind).itemsize if kind else 0
-    n = len(packed) // (8 + size)
-    raw = np.frombuffer(packed, np.uint8)
+def _unpack(packed: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    raw, size = np.frombuffer(zstandard.decompress(packed), np.uint8), np.dtype(kind).itemsize
+    n = len(raw) // (8 + size)
     key = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<i8").ravel().cumsum()
-    return key, np.ascontiguousarray(raw[8 * n :].reshape(size, n).T).view(kind).ravel() if kind else None
+    return key, np.ascontiguousarray(raw[8 * n :].reshape(size, n).T).view(kind).ravel()
+
+
+def _pack_texts(b: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(b)
+    return sink.getvalue().to_pybytes()
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -242,7 +247,7 @@ def _bucket_of(kind: int, key: np.ndarray, buckets: int, depth: int) -> np.ndarr
 
 
 def send_chunks(docs: DataFrame, buckets: int, depth: int, chunk_bytes: int, step: int) -> DataFrame:
-    """Rows of texts by chunk; for each chunk, kind and bucket a row with the words or grams, and their counts in training texts."""
+    """Rows of packed texts by chunk, ``total`` telling how many are training texts; for each chunk, kind and bucket a row with the words or grams, and their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size = TaskContext.get().partitionId() << 32, 0
@@ -268,8 +273,8 @@ def send_chunks(docs: DataFrame, buckets: int, depth: int, chunk_bytes: int, ste
             for code, of in _grams(texts, depth, step):
                 found, different = pd.factorize(code)
                 held[_GRAMS].add(different, np.bincount(found, train[of], len(different)))
-            rows = len(texts)
-            yield _rows(kind=np.full(rows, _TEXTS), chunk=np.full(rows, chunk), doc_id=b.column("doc_id"), held_out=b.column("held_out"), n_tokens=sizes + 1, payload=texts)
+            piece = pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(sizes + 1), pa.array(texts, pa.large_binary())], ["doc_id", "held_out", "n_tokens", "text"])
+            yield _rows(kind=[_TEXTS], chunk=[chunk], total=[int(train.sum())], payload=[_pack_texts(piece)])
             size += sum(map(len, texts))
             if size >= chunk_bytes:
                 yield from settle()
@@ -289,7 +294,7 @@ def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int,
 def count_buckets(sent: DataFrame, buckets: int, depth: int) -> DataFrame:
     """For each bucket and kind one row of kind ``_COUNTS``, ``slot`` telling which, with all keys and their counts.
 
-    For words ``n_tokens`` holds how many occur in training texts and ``doc_id`` how often all of them do. Rows
+    For words ``distinct`` holds how many occur in training texts and ``total`` how often. Rows
     of kind ``_GRAMS`` hold what the bucket adds to the contexts of one byte.
     """
 
@@ -301,7 +306,7 @@ def count_buckets(sent: DataFrame, buckets: int, depth: int) -> DataFrame:
             key, n = held.total()
             one = {"bucket": [bucket], "kind": [_COUNTS], "slot": [kind], "payload": [_pack(key, n.astype("<i8"))]}
             if kind == _WORDS:
-                yield _rows(**one, n_tokens=[int((n > 0).sum())], doc_id=[int(n.sum())])
+                yield _rows(**one, distinct=[int((n > 0).sum())], total=[int(n.sum())])
             else:
                 yield _rows(**one)
                 keys, rows = Subtrees(key, n, depth).roots()
@@ -336,10 +341,10 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = _CHUNK, st
     sent = materialize(send_chunks(docs, buckets, depth, chunk_bytes, step), "sent", "kind")
     postings, texts = sent.where(F.col("kind") != _TEXTS), sent.where(F.col("kind") == _TEXTS)
     counts = materialize(count_buckets(postings.select(*_TYPES), buckets, depth), "counts", "kind")
-    n_docs = texts.where("not held_out").count()
+    n_docs, n_chunks = texts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count_distinct("chunk")).first()
     merged = counts.where(F.col("kind") == _COUNTS)
     of_words = merged.where(F.col("slot") == _WORDS)
-    total, distinct = of_words.agg(F.coalesce(F.sum("doc_id"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    total, distinct = of_words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     n_train, vocabulary = total + n_docs, distinct + (n_docs > 0)
     scale, end = math.log10(n_train + 0.1 * (vocabulary + 1)), math.log10(n_docs + 0.1)
     top = _sum_tops(counts.where(F.col("kind") == _GRAMS)).toPandas()
@@ -353,7 +358,7 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = _CHUNK, st
                 current, known = bucket, {}
             if kind == _COUNTS:
                 key, n = _unpack(packed, "<i8")
-                known[slot] = (key, np.log10(n + 0.1) if slot == _WORDS else Subtrees(key, n, depth).values(*above.value).astype("<f4"))
+                known[slot] = (key, n if slot == _WORDS else Subtrees(key, n, depth).values(*above.value).astype("<f4"))
                 continue
             key, _ = _unpack(packed, "<u4")
             all_keys, value = known[kind]
@@ -369,23 +374,23 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = _CHUNK, st
                 if chunks[lo] != current:
                     current, got, tables = chunks[lo], {_WORDS: [], _GRAMS: []}, None
                 if kinds[lo] != _TEXTS:
-                    got[kinds[lo]] += [_unpack(p, "<f8" if kinds[lo] == _WORDS else "<f4") for p in part.column("payload").to_pylist()]
+                    got[kinds[lo]] += [_unpack(p, "<i8" if kinds[lo] == _WORDS else "<f4") for p in part.column("payload").to_pylist()]
                     continue
                 if tables is None:
                     tables, got = {k: _sorted_table(v) for k, v in got.items()}, {}
-                for piece in text_chunks([part], "payload", step):
-                    yield score(piece, tables)
+                for p in part.column("payload"):
+                    yield score(pa.ipc.open_stream(p.as_buffer()).read_next_batch(), tables)
 
     def score(b: pa.RecordBatch, tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        texts, rows = b.column("payload").to_pylist(), b.num_rows
+        texts, rows = b.column("text").to_pylist(), b.num_rows
         split = [t.split() for t in texts]
         at, hashes = _hashes([w for ws in split for w in ws])
         key, value = tables[_WORDS]
-        value = value[np.searchsorted(key, hashes)][at]
+        c = value[np.searchsorted(key, hashes)][at]
         of = np.repeat(np.arange(rows), [len(ws) for ws in split])
         n_tokens = b.column("n_tokens").to_numpy()
-        known = np.bincount(of, value > _UNSEEN / 2, rows).astype(np.int64) + (n_docs > 0)
-        base = np.bincount(of, value, rows) + end - n_tokens * scale
+        known = np.bincount(of, c > 0, rows).astype(np.int64) + (n_docs > 0)
+        base = np.bincount(of, np.log10(c + 0.1), rows) + end - n_tokens * scale
         model, (key, value) = np.zeros(rows), tables[_GRAMS]
         for code, of in _grams(texts, depth, step):
             found, different = pd.factorize(code)
@@ -397,7 +402,7 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = _CHUNK, st
 
     asked = merged.select(*_TYPES).unionByName(postings.select(*_TYPES))
     values = asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, _ROW)
-    return values.unionByName(texts.select(*_TYPES)).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(finish, _SCORES)
+    return values.unionByName(texts.select(*_TYPES)).repartition(max(1, n_chunks), "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(finish, _SCORES)
 
 
 def _sum_tops(rows: DataFrame) -> DataFrame:
@@ -419,6 +424,6 @@ def _runs(kinds: np.ndarray, chunks: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _sorted_table(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key, value = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0))
+    key, value = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     order = np.argsort(key)
-    return key[order], value[order].astype(float)
+    return key[order], value[order]
