@@ -150,7 +150,7 @@ def scenario_terms(scenarios: Column, kind: str, limit: int) -> Column:
 def expanded_query(text: Column, accords: Column, notes: Column, scenarios: Column, skin: Column, families: Column, alternative: bool = False) -> Column:
     """A request as text for the embedding model."""
     full = lambda prefix, a: F.when(F.size(F.coalesce(a, strings())) > 0, F.concat(F.lit(prefix), F.array_join(a, ", ")))
-    skin_families = F.create_map(*[x for k, v in {"dry": ["oriental", "woody", "gourmand"], "oily": ["citrus", "green", "fresh_aquatic"], "normal": ["floral", "woody", "citrus"]}.items() for x in (F.lit(k), strings(*v))])
+    skin_families = F.create_map(*[x for k, v in vocab.SKIN_FAMILIES.items() for x in (F.lit(k), strings(*v))])
     members = F.create_map(*[x for k, v in vocab.FAMILIES.items() for x in (F.lit(k), strings(*v[:4]))])
     terms = F.flatten(F.transform(F.coalesce(families, strings()), lambda f: F.coalesce(F.try_element_at(members, f), strings())))
     of_scenarios = scenario_terms(scenarios, "notes", 8) if alternative else scenario_terms(scenarios, "accords", 6)

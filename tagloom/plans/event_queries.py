@@ -168,7 +168,7 @@ _budget = ", ".join(f"nullif(regexp_extract(x, '{p}', 1), '')" for p in I.BUDGET
 _fam = "MAP {" + ", ".join(f"'{k}': '{','.join(v)}'" for k, v in I.SCENT_FAMILIES.items()) + "}"
 PREFERENCE_SQL = f"""WITH t AS (SELECT conv_id, turn, lower(['fresh scent for the gym under 2000, no vanilla ', 'my husband needs 8+ hours, beast mode, avoid oud ', '22yo guy, office and rain, under rs 500 ', 'dupe for her wedding, woody and citrus ', 'oily skin, subtle, I am twenty five ', ''][conv_id % 6 + 1] || regexp_replace(text, '[^\\x20-\\x7E]', '', 'g')) AS y FROM conversations WHERE role = 'user'), u AS (SELECT *, y AS x, ' ' || y || ' ' AS px FROM t)
 SELECT conv_id, turn, concat_ws(',', {', '.join(f"CASE WHEN {' OR '.join(f'''contains(px, '{w}')''' for w in ws)} THEN '{s}' END" for s, ws in I.SCENARIO_KEYWORDS.items())}) AS scenarios,
- CASE WHEN {_hit(I.UNISEX_PHRASES)} THEN 'unisex' WHEN regexp_matches(x, '{I.MALE_WORDS}') AND NOT regexp_matches(x, '{I.FEMALE_WORDS}') THEN 'male' WHEN regexp_matches(x, '{I.FEMALE_WORDS}') AND NOT regexp_matches(x, '{I.MALE_WORDS}') THEN 'female' ELSE 'none' END AS gender,
+ CASE WHEN {_hit(I.UNISEX_PHRASES)} THEN 'unisex' WHEN regexp_matches(x, '{I.any_word(I.MALE_WORDS)}') AND NOT regexp_matches(x, '{I.any_word(I.FEMALE_WORDS)}') THEN 'male' WHEN regexp_matches(x, '{I.any_word(I.FEMALE_WORDS)}') AND NOT regexp_matches(x, '{I.any_word(I.MALE_WORDS)}') THEN 'female' ELSE 'none' END AS gender,
  CAST(replace(coalesce({_budget}), ',', '') AS DOUBLE) AS budget, CASE WHEN TRY_CAST(regexp_extract(x, '{I.HOURS}', 1) AS INT) BETWEEN 1 AND 24 THEN TRY_CAST(regexp_extract(x, '{I.HOURS}', 1) AS INT) END AS hours,
  CASE WHEN {_hit(I.EXPOSED_WORDS)} THEN 'strong' {' '.join(f"WHEN {_hit(ps)} THEN '{label}'" for label, ps in I.PROJECTION_PHRASES.items())} ELSE 'none' END AS projection, ({_hit(I.LONGEVITY_PHRASES)}) AS lasting, (regexp_matches(x, '\\bdupe(s)?\\b') OR {_hit(I.ALTERNATIVE_PHRASES)}) AS alternative,
  coalesce(nullif(regexp_extract(x, '\\b(dry|oily|normal)\\b\\s*skin', 1), ''), nullif(regexp_extract(x, '\\bskin\\b\\s*(?:type\\s*)?(?:is\\s*)?(dry|oily|normal)\\b', 1), ''), 'none') AS skin,
