@@ -1,12 +1,17 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
 The question is how much of a short test item lies inside a long document, so
-only the item is sketched. Items are partitioned by their number q of distinct
-shingles; an item's sketch is its floor((1 - t) * q) + 1 smallest shingle hashes.
-If a document holds at least the share t of an item, it misses fewer shingles
+only the item is sketched: its floor((1 - t) * q) + 1 smallest shingle hashes, of q
+distinct ones. If a document holds at least the share t of an item, it misses fewer shingles
 than the sketch has, so it must hold one of the sketch: no leak is overlooked. Banded
 MinHash over whole documents would compare sets of very unequal sizes (a Jaccard
-similarity near 0.001) and miss most. Candidates are verified on the words.
+similarity near 0.001) and miss most.
+
+Items are partitioned by size, in powers of two of the shingles that a match needs, and
+a document is probed only against the partitions that its own length can reach: one with fewer
+shingles than the least need of a partition cannot match in it. Items shorter than a shingle
+are partitions of their own, compared with the document's runs of that many words.
+Candidates are verified on the words.
 
 Words are runs of ASCII letters, digits and all other characters beyond ASCII, with A-Z lower-cased.
 """
@@ -46,68 +51,74 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
-    """A hash for each shingle by place; fewer words than ``size`` make one shingle."""
-    if not words:
+    """A hash for each shingle of ``size`` words by place; none of fewer words."""
+    n = len(words) - size + 1
+    if n < 1:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    if len(words) < size:
-        total = (h * _FACTORS[: len(h)]).sum(dtype=np.uint64) + np.uint64(len(h))
-        out = np.array([total])
-    else:
-        n = len(h) - size + 1
-        out = np.zeros(n, np.uint64)
-        for i in range(size):
-            out += h[i : i + n] * _FACTORS[i]
+    out = np.full(n, size, np.uint64)
+    for i in range(size):
+        out += h[i : i + n] * _FACTORS[i]
     out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(32))
 
 
-class ItemIndex:
-    """Sketches and whole shingle sets of a bounded block of items."""
+def _grams(words: list[bytes], size: int, places) -> Iterator[bytes]:
+    return (b" ".join(words[p : p + size]) for p in places)
 
-    def __init__(self, items: list[tuple[int, str]], size: int, share: float):
-        self.size, self.ids, self.shingles, self.need = size, [], [], []
+
+class SizePartition:
+    """Sketches and whole shingle sets of items of one shingle length and one class of size."""
+
+    def __init__(self, size: int, members: list[tuple[int, dict[bytes, int], int]]):
+        self.size, self.members, self.least = size, members, min(need for *_, need in members)
         sketch, owner = [], []
-        by_count: dict[int, list[int]] = {}
-        for item_id, text in items:
-            w = words_of(text)
-            h = shingle_hashes(w, size)
-            if not len(h):
-                continue
-            grams = dict(zip(self._grams(w, range(len(h))), h.tolist()))
-            by_count.setdefault(len(grams), []).append(len(self.ids))
-            self.ids.append(item_id)
-            self.shingles.append(grams)
-            self.need.append(_least(share, len(grams)))
-        for q, members in by_count.items():
-            for i in members:
-                for h in sorted(set(self.shingles[i].values()))[: q - _least(share, q) + 1]:
-                    sketch.append(h)
-                    owner.append(i)
+        for at, (_, grams, need) in enumerate(members):
+            smallest = sorted(set(grams.values()))[: len(grams) - need + 1]
+            sketch += smallest
+            owner += [at] * len(smallest)
         order = np.argsort(np.array(sketch, np.uint64), kind="stable")
         self.sketch, self.owner = np.array(sketch, np.uint64)[order], np.array(owner, np.int64)[order]
         self.low = np.zeros(1 << 16, bool)
         self.low[(self.sketch & np.uint64(0xFFFF)).astype(np.int64)] = True
-        self.hashes = [np.array(sorted(set(s.values())), np.uint64) for s in self.shingles]
-
-    def _grams(self, words: list[bytes], places) -> Iterator[bytes]:
-        return (b" ".join(words[p : p + self.size]) for p in places)
+        self.hashes = [np.array(sorted(set(grams.values())), np.uint64) for _, grams, _ in members]
 
-    def match(self, text: str | None) -> list[tuple[int, int]]:
-        """(index of item, shared distinct shingles) of every item that the text contains."""
-        words = words_of(text)
-        h = shingle_hashes(words, self.size)
+    def match(self, words: list[bytes], h: np.ndarray) -> Iterator[tuple[int, int, int]]:
         probe = np.unique(h[self.low[(h & np.uint64(0xFFFF)).astype(np.int64)]])
-        if not len(probe) or not len(self.sketch):
-            return []
         lo, hi = np.searchsorted(self.sketch, probe), np.searchsorted(self.sketch, probe, "right")
-        found = {int(i) for a, b in zip(lo, hi) for i in self.owner[a:b]}
-        out = []
-        for i in sorted(found):
+        for i in sorted({int(i) for a, b in zip(lo, hi) for i in self.owner[a:b]}):
+            item_id, grams, need = self.members[i]
             at = np.flatnonzero(np.isin(h, self.hashes[i]))
-            shared = len(set(self._grams(words, at)) & self.shingles[i].keys())
-            if shared >= self.need[i]:
-                out.append((i, shared))
+            shared = len(set(_grams(words, self.size, at)) & grams.keys())
+            if shared >= need:
+                yield item_id, shared, len(grams)
+
+
+class ItemIndex:
+    """A bounded block of items, partitioned by size. Rows of one item_id are items of their own."""
+
+    def __init__(self, items: list[tuple[int, str]], size: int, share: float):
+        classes: dict[tuple[int, int], list] = {}
+        for item_id, text in items:
+            w = words_of(text)
+            if w:
+                k = min(size, len(w))
+                h = shingle_hashes(w, k)
+                grams = dict(zip(_grams(w, k, range(len(h))), h.tolist()))
+                need = _least(share, len(grams))
+                classes.setdefault((k, need.bit_length()), []).append((item_id, grams, need))
+        self.partitions = [SizePartition(k, members) for (k, _), members in sorted(classes.items())]
+
+    def match(self, text: str | None) -> list[tuple[int, int, int]]:
+        """(item_id, shared distinct shingles, shingles of the item) of every item that the text contains."""
+        words = words_of(text)
+        hashed: dict[int, np.ndarray] = {}
+        out = []
+        for p in self.partitions:
+            if len(words) - p.size + 1 >= p.least:
+                if p.size not in hashed:
+                    hashed[p.size] = shingle_hashes(words, p.size)
+                out += p.match(words, hashed[p.size])
         return out
 
 
@@ -130,8 +141,8 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.8, size: in
 
     docs(doc_id, text, ..), items(item_id, text, ..) -> doc_id, item_id, shared and
     item_shingles (distinct shingles of ``size`` words), containment. Null and blank texts
-    match nothing; a text of fewer words than ``size`` is one shingle and matches
-    only the same text. Repeated items count once; repeated documents each give rows.
+    match nothing; an item of fewer words than ``size`` is one shingle and lies in every
+    document that has these words in a row. Repeated items count once; repeated documents each give rows.
     """
     schema = "doc_id long, item_id long, shared long, item_shingles long"
     spark, out = docs.sparkSession, None
@@ -142,9 +153,9 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.8, size: in
             index = ItemIndex(sent.value, size, share)
             for b in text_chunks(batches, "text"):
                 rows = [
-                    (doc, index.ids[i], shared, len(index.shingles[i]))
+                    (doc, *found)
                     for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())
-                    for i, shared in index.match(text)
+                    for found in index.match(text)
                 ]
                 cols = list(zip(*rows)) or [()] * 4
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "shared", "item_shingles"])
@@ -156,7 +167,10 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.8, size: in
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = 0.8, size: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that hold no test item; all columns stay, and no row is moved."""
+    """The documents that hold no test item, as ``contaminated`` finds it; all columns stay, and no row is moved.
+
+    Null and blank texts stay; of repeated documents all stay or go. Without items or documents nothing changes.
+    """
     kept = docs
     for block in _blocks(items, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(block)
@@ -172,11 +186,12 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = 0.8, siz
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
-i AS (SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' ')) END) AS s FROM d WHERE len(w) > 0),
-bs AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' ')) END) AS s FROM i WHERE len(w) > 0),
-n AS (SELECT item_id, count(*) AS item_shingles FROM bs GROUP BY item_id)
+i AS (SELECT item_id, row_number() OVER (ORDER BY item_id, text) AS ik, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+bs AS (SELECT DISTINCT item_id, ik, least(len(w), 5) AS k, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda p: array_to_string(w[p:p + least(len(w), 5) - 1], ' '))) AS s FROM i WHERE len(w) > 0),
+ks AS (SELECT DISTINCT k FROM bs),
+ds AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS s FROM d JOIN ks ON len(w) >= k),
+n AS (SELECT ik, count(*) AS item_shingles FROM bs GROUP BY ik)
 SELECT ds.doc_id, bs.item_id, count(*) AS shared, n.item_shingles, count(*) / n.item_shingles AS containment
-FROM ds JOIN bs ON ds.s = bs.s JOIN n ON n.item_id = bs.item_id
-GROUP BY ds.doc_id, bs.item_id, n.item_shingles HAVING count(*) >= 0.8 * n.item_shingles - 1e-9
+FROM ds JOIN bs ON ds.s = bs.s AND ds.k = bs.k JOIN n ON n.ik = bs.ik
+GROUP BY ds.doc_id, bs.item_id, bs.ik, n.item_shingles HAVING count(*) >= 0.8 * n.item_shingles - 1e-9
 """
