@@ -63,14 +63,17 @@ REFERENCE_SQL = f"WITH {_SIMS} SELECT request_id, item_id, CAST(row_number() OVE
 
 
 def approximate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of hash tables at three settings against the exact neighbours."""
+    """Recall of signed projections at three numbers of tables against the exact neighbours, and the share of all pairs compared for it."""
     q, items = vector_requests(spark, sf_dir), vectors(spark, sf_dir)
     exact = R.top_k(q, items, 10)
-    found = None
-    for setting, tables in enumerate((2, 6, 12)):
-        part = R.approximate_top_k(q, items, 10, tables=tables, threshold=1.3).withColumn("setting", F.lit(setting))
-        found = part if found is None else found.unionByName(part)
-    return R.recall_sweep(exact, found)
+    sizes = q.agg(F.count("*").alias("n")).crossJoin(items.agg(F.count("*").alias("m")))
+    found = compared = None
+    for setting, tables in enumerate((8, 16, 32)):
+        part = R.approximate_top_k(q, items, 10, tables=tables).withColumn("setting", F.lit(setting))
+        pairs = R.bucket_pairs(q, items, tables=tables).agg(F.count("*").alias("pairs")).withColumn("setting", F.lit(setting))
+        found, compared = (part, pairs) if found is None else (found.unionByName(part), compared.unionByName(pairs))
+    share = compared.crossJoin(sizes).select("setting", F.round(F.try_divide(F.col("pairs"), F.col("n") * F.col("m")), 6).alias("compared"))
+    return R.recall_sweep(exact, found, share.select("setting")).join(F.broadcast(share), "setting")
 
 
 def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +83,7 @@ def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.top(R.bm25(q, docs).withColumn("score", F.round("rank_score", 6)), W.quality_order(), 10).select("request_id", "item_id", "rank", F.round("score", 4).alias("score"))
 
 
-_tok = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w <> '')"
+_tok = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '')"
 BM25_SQL = f"""WITH d AS (SELECT doc_id AS item_id, {_tok('text')} AS w FROM documents), m AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), t AS (SELECT item_id, len(w) AS size, unnest(w) AS word FROM d), tf AS (SELECT word, item_id, size, count(*) AS tf FROM t GROUP BY ALL),
 df AS (SELECT word, count(*) AS df FROM tf GROUP BY word), q AS (SELECT DISTINCT item_id AS request_id, unnest({_tok('text')}) AS word FROM benchmark),
 s AS (SELECT request_id, tf.item_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 6) AS score FROM q JOIN df USING (word) JOIN tf USING (word), m GROUP BY ALL)
