@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from ..operators import score as S
 from ..operators import telemetry as T
 from ..streaming import jobs as L
 from .catalog_queries import scored
-from .shared import shared_path
+from .shared import intermediate_folder
 from .tables import CATALOG_SQL, EVENTS_SQL, LOG_SQL, catalog, read, request_log, requests, session_events, vector_requests, vectors
 
 _dot = "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
@@ -227,7 +225,7 @@ FUNNEL_SQL = f"WITH {EVENTS_SQL}, g AS (SELECT coalesce(nullif(trim(variant), ''
 def live_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming funnel by day over all events, run to its end."""
     batch = session_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    source = f"{shared_path(spark)}/{uuid.uuid4().hex}"
+    source = intermediate_folder(spark)
     batch.write.parquet(f"{source}/in")
     stream = spark.readStream.schema(batch.schema).parquet(f"{source}/in")
     counts = L.live_funnel(stream, "1 day", "0 seconds", ("click", "view")).select(F.col("window.start").alias("day"), "variant", "clicks", "impressions", "purchases", *[F.round(c, 6).alias(c) for c in ("ctr", "purchase_rate", "composite")])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +13,10 @@ from ..operators import retrieve as R
 from ..sources import catalog as S
 from ..streaming import jobs as L
 from .event_queries import PROFILE_SQL
-from .shared import shared_path
+from .shared import intermediate_folder
 from .tables import CATALOG_SQL, EVENTS_SQL, LOG_SQL, REQUESTS_SQL, catalog, read, request_log, requests, session_events
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{shared_path(spark)}/{uuid.uuid4().hex}"
-
-
 def _csv(df: DataFrame, path: str, sep: str = ",") -> str:
     df.write.option("header", True).option("sep", sep).option("escape", '"').csv(path)
     return path
@@ -33,7 +27,7 @@ def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Some cells are blank, unknown or no numbers; some names are missing, and these rows go.
     """
-    folder, c = _folder(spark), F.col
+    folder, c = intermediate_folder(spark), F.col
     words = F.split("p_name", " ")
     literal = lambda *xs: F.concat(F.lit("['"), F.concat_ws("', '", *xs), F.lit("']"))
     t = read(spark, sf_dir, "part").withColumns({
@@ -73,7 +67,7 @@ FROM t WHERE kind = 1 OR p_size <> 7"""
 
 def stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue written and read back, and one item looked up in it."""
-    path = _folder(spark)
+    path = f"{intermediate_folder(spark)}/stored"
     S.write_catalog(catalog(spark, sf_dir).withColumn("type", F.when(F.col("size") > 25, F.col("kind"))), path)
     one = S.lookup(spark.read.parquet(path), 7)
     return one.select("item_id", "brand", "item", F.array_join("notes", ",").alias("notes"), F.coalesce("type", F.lit("none")).alias("type"), "currency")
@@ -84,7 +78,7 @@ LOOKUP_SQL = f"WITH {CATALOG_SQL} SELECT item_id, brand, item, array_to_string(l
 
 def rating_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings of existing items appended as events by day, read back and counted."""
-    path = _folder(spark)
+    path = f"{intermediate_folder(spark)}/stored"
     given = session_events(spark, sf_dir).select("ts", (F.col("event_id") % 900).alias("item_id"), (F.col("event_id") % 4 - 1).alias("rating"))
     S.append_events(S.rating_events(given, catalog(spark, sf_dir)), path)
     return spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("n_items"))
@@ -97,7 +91,7 @@ FROM g WHERE rating IN (0, 1) AND item_id IN (SELECT p_partkey FROM part) GROUP
 
 def metrics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request log's counts written as exposition text and read back."""
-    path = _folder(spark)
+    path = f"{intermediate_folder(spark)}/stored"
     counts = request_log(spark, sf_dir).groupBy("route", "status").agg(F.count("*").alias("n"))
     line = F.concat(F.lit('requests_total{route="'), "route", F.lit('",status="'), F.col("status").cast("string"), F.lit('"} '), F.col("n").cast("string"))
     counts.select(F.explode(F.array(F.lit("# TYPE requests_total counter"), F.lit(" "), line)).alias("value")).write.text(path)
@@ -204,7 +198,7 @@ def _stream(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
 
 def ingested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of several batches: known types to one table, others to another; both counted."""
-    folder = _folder(spark)
+    folder = intermediate_folder(spark)
     source = session_events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 11 > 0, F.col("event_type")).alias("event_type"))
     L.ingest_events(_stream(spark, source, folder), f"{folder}/good", f"{folder}/bad", f"{folder}/state").awaitTermination()
     part = lambda name: spark.read.schema(source.schema).option("recursiveFileLookup", True).parquet(f"{folder}/{name}").withColumn("target", F.lit(name))
@@ -218,7 +212,7 @@ SELECT CASE WHEN e IN ({_known}) THEN 'good' ELSE 'bad' END AS target, coalesce(
 
 def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running means over each session's newest clicks; the last row of each session after several batches."""
-    folder = _folder(spark)
+    folder = intermediate_folder(spark)
     items = catalog(spark, sf_dir).select("item_id", F.col("price").cast("double").alias("price"))
     clicks = session_events(spark, sf_dir).where("event_type = 'click'").join(items, "item_id")
     clicks = clicks.select("session_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("score").cast("double").alias("score"), "price")

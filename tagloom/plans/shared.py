@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -13,3 +14,18 @@ def shared_path(spark: SparkSession) -> str:
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return base.rstrip("/") if base else tempfile.mkdtemp(prefix="spark-")
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Let the file system delete a folder of intermediate results, made here if it is not there, when the driver's JVM ends."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+
+
+def intermediate_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one; it goes when the driver ends, as frames that read it may be used until then."""
+    path = f"{shared_path(spark)}/{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    return path
