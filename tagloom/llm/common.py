@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import delete_at_exit
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -32,8 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str, *by: str) -> DataFrame:
-    """Write ``df`` to the shared folder, apart by the columns ``by``, and read it back: lineage is cut and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}/{label}"
+    """Write ``df`` to the shared folder, apart by the columns ``by``, and read it back: lineage is cut and survives lost executors.
+
+    The folder goes when the driver ends: until then frames may read it again.
+    """
+    folder = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    delete_at_exit(df.sparkSession, folder)
+    path = f"{folder}/{label}"
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
