@@ -17,8 +17,10 @@ from .shared import intermediate_folder
 from .tables import CATALOG_SQL, EVENTS_SQL, LOG_SQL, REQUESTS_SQL, catalog, read, request_log, requests, session_events
 
 
-def _csv(df: DataFrame, path: str, sep: str = ",") -> str:
-    df.write.option("header", True).option("sep", sep).option("escape", '"').csv(path)
+def _csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "utf-8") -> str:
+    if encoding != "utf-8":
+        df.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")
+    df.write.options(header=True, sep=sep, escape='"', encoding=encoding, lineSep="\r\n" if encoding != "utf-8" else "\n").csv(path)
     return path
 
 
@@ -37,6 +39,8 @@ def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda k, *columns: t.where(c("kind") == k).select(*columns)
     name = F.concat_ws(" ", "p_name", F.regexp_replace("p_brand", "#", ""), "audience").alias("Name")
     tiers = [c("a").alias("Top"), F.lit("Unknown").alias("Middle"), F.concat_ws(", ", "b", "a").alias("Base")]
+    # code page 850: bytes above 127, doubled quotes, line feeds and separators in quotes, and a row that says what the header says
+    odd = F.when(c("p_size") % 4 == 0, F.concat(F.lit('É "'), "p_name", F.lit('"; ß'))).when(c("p_size") % 4 == 1, F.concat("p_name", F.lit("\nñ, x"))).when(c("p_size") % 4 == 2, F.lit("Perfume")).otherwise(c("p_name"))
     wide = [F.when(c("p_size") % 5 >= i, c("b")).alias(f"mainaccord{i}") for i in range(1, 6)]
     rated = [c("score").alias("Rating Value"), c("votes").alias("Rating Count")]
     nested = [literal("a").alias("notes.top_notes"), F.lit("[]").alias("notes.middle_notes"), literal("b").alias("notes.base_notes")]
@@ -44,8 +48,8 @@ def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = [
         S.quoted_list_source(spark, _csv(part(0, "brand", c("p_name").alias("perfume"), (c("p_size") + 1970).alias("launch_year"), literal("a", "b").alias("notes"), literal("b").alias("main_accords")), f"{folder}/0")),
         S.packed_name_source(spark, _csv(part(1, name, c("audience").alias("Gender"), literal("a").alias("Main Accords"), c("p_type").alias("Description"), *rated), f"{folder}/1")),
-        S.tiered_source(spark, _csv(part(2, c("brand").alias("Brand"), c("p_name").alias("Perfume"), (c("p_size") + 1970).alias("Year"), c("audience").alias("Gender"), *tiers, *wide, *rated, c("a").alias("Perfumer1"), F.lit("unknown").alias("Perfumer2"), F.lit("X").alias("Country"), F.lit("u").alias("url")), f"{folder}/2", ";")),
-        S.image_link_source(spark, _csv(part(3, c("brand").alias("Brand"), c("p_name").alias("Name"), F.concat_ws(", ", "a", F.lit("none"), "b").alias("Notes"), c("p_type").alias("Description"), F.lit("i").alias("Image URL")), f"{folder}/3")),
+        S.tiered_source(spark, _csv(part(2, F.when(c("p_size") % 4 == 2, "Brand").otherwise(c("brand")).alias("Brand"), odd.alias("Perfume"), (c("p_size") + 1970).alias("Year"), c("audience").alias("Gender"), *tiers, *wide, *rated, c("a").alias("Perfumer1"), F.lit("unknown").alias("Perfumer2"), F.lit("X").alias("Country"), F.lit("u").alias("url")), f"{folder}/2", ";", "cp850")),
+        S.image_link_source(spark, _csv(part(3, c("brand").alias("Brand"), odd.alias("Name"), F.concat_ws(", ", "a", F.lit("none"), "b").alias("Notes"), c("p_type").alias("Description"), F.lit("i").alias("Image URL")), f"{folder}/3", ",", "cp850")),
         S.supplement_source(spark, _csv(part(4, "brand", c("p_name").alias("perfume"), F.lit("unknown").alias("gender"), c("a").alias("notes"), c("b").alias("accords"), F.when(c("p_size") % 2 == 0, c("p_size").cast("string")).otherwise("n/a").alias("price_inr")), f"{folder}/4")),
         S.nested_header_source(spark, _csv(part(5, "brand", F.concat_ws(" ", F.lit("Unisex"), "p_name", F.lit("Perfume - 100ml")).alias("name"), F.lit("").alias("gender"), *nested, literal("b").alias("accords"), prices.alias("prices")), f"{folder}/5")),
     ]
@@ -54,9 +58,10 @@ def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", "source_priority", "brand", "item", "gender", "launch_year", "rating", "rating_count", "price", "perfumer", *listed("accords", "notes", "notes_top", "notes_base"))
 
 
-SOURCE_SQL = """WITH t AS (SELECT *, p_partkey % 6 AS kind, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)
+SOURCE_SQL = """WITH t AS (SELECT *, p_partkey % 6 AS kind, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b,
+ CASE p_size % 4 WHEN 0 THEN 'É "' || p_name || '"; ß' WHEN 1 THEN p_name || chr(10) || 'ñ, x' WHEN 2 THEN 'Perfume' ELSE p_name END AS odd FROM part)
 SELECT ['da_fragrance', 'fra_perfumes', 'fra_cleaned', 'nandini', 'indian_brands', 'india_mainstream'][kind + 1] AS source, CAST([1, 2, 3, 4, 0, 5][kind + 1] AS INT) AS source_priority,
- CASE WHEN kind = 1 THEN replace(p_brand, '#', '') ELSE p_brand END AS brand, p_name AS item, CASE WHEN kind IN (1, 2) THEN CASE WHEN p_size % 2 = 0 THEN 'female' ELSE 'male' END END AS gender,
+ CASE WHEN kind = 1 THEN replace(p_brand, '#', '') WHEN kind = 2 AND p_size % 4 = 2 THEN 'Brand' ELSE p_brand END AS brand, CASE WHEN kind IN (2, 3) THEN odd ELSE p_name END AS item, CASE WHEN kind IN (1, 2) THEN CASE WHEN p_size % 2 = 0 THEN 'female' ELSE 'male' END END AS gender,
  CASE WHEN kind IN (0, 2) THEN CAST(p_size + 1970 AS VARCHAR) END AS launch_year, CASE WHEN kind IN (1, 2) THEN p_size % 5 + 0.5::DOUBLE END AS rating, CASE WHEN kind IN (1, 2) AND p_size % 3 > 0 THEN CAST(1000 + p_size AS INT) END AS rating_count,
  CASE WHEN kind = 4 AND p_size % 2 = 0 THEN CAST(p_size AS INT) WHEN kind = 5 THEN CAST(p_size + CASE WHEN p_size % 2 = 0 THEN 100 ELSE 500 END AS INT) END AS price, CASE WHEN kind = 2 THEN a END AS perfumer,
  CASE kind WHEN 1 THEN a WHEN 2 THEN array_to_string(list_transform(range(p_size % 5), lambda i: b), ',') WHEN 3 THEN '' ELSE b END AS accords,

@@ -28,21 +28,13 @@ def record(df: DataFrame, source: str, priority: int, columns: dict[str, Column]
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8") -> DataFrame:
-    """A CSV file with a header, all columns as text. Code pages beyond Spark's own list are decoded by Python."""
-    if encoding.lower() in ("utf-8", "iso-8859-1", "us-ascii", "utf-16"):
-        return spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path)
+    """A CSV file with a header, all columns as text: quotes may hold separators, line feeds and doubled quotes.
 
-    def decode(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            yield pa.record_batch({"value": pa.array([x.decode(encoding) for x in b.column("value").to_pylist()])})
-
-    # the text reader hands on a line's bytes as they are; a code page of single bytes leaves line feeds alone
-    lines = spark.read.text(path).select(F.col("value").cast("binary")).mapInArrow(decode, "value string")
-    names = [c.strip().strip('"') for c in lines.first()["value"].split(sep)]
-    parsed = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": sep})
-    return lines.where(F.col("value") != sep.join(names)).select(parsed.alias("r")).select("r.*")
+    Code pages beyond Spark's own list need its setting for all of Java's charsets, which stays on in the session.
+    """
+    if encoding.lower() not in ("utf-8", "iso-8859-1", "us-ascii", "utf-16"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return spark.read.options(header=True, sep=sep, encoding=encoding, multiLine=True, escape='"').csv(path)
 
 
 def quoted_list_source(spark: SparkSession, path: str, source: str = "da_fragrance", priority: int = 1) -> DataFrame:

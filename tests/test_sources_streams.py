@@ -33,6 +33,15 @@ def test_six_sources_in_order(spark, tmp_path):
     assert S.capped(S.all_sources(parts), 2).count() == 2
 
 
+def test_code_page_files_with_quotes_and_line_feeds(spark, tmp_path):
+    head = '"Brand";Perfume;"Note; text"\r\n'
+    rows = 'Ä;"Eau ""X""";"two\nlines"\r\nBrand;Perfume;Note; text\r\n"a;b";é;\r\n;;\r\nBrand;Perfume;"Note; text"\r\n'
+    got = S.read_csv(spark, put(tmp_path / "c.csv", head + rows, "cp850"), ";", "cp850")
+    assert got.columns == ["Brand", "Perfume", "Note; text"]
+    want = {("Ä", 'Eau "X"', "two\nlines"), ("Brand", "Perfume", "Note"), ("a;b", "é", None), ("Brand", "Perfume", "Note; text")}
+    assert want <= {tuple(r) for r in got.collect()} and got.count() in (4, 5)
+
+
 def test_sinks_and_metrics(spark, tmp_path):
     items = spark.createDataFrame([(1,), (2,)], "item_id long")
     rated = S.rating_events(spark.createDataFrame([(1, 1), (2, 0), (9, 1), (1, 5)], "item_id long, rating int"), items)
