@@ -10,6 +10,7 @@ from ..functions import text as P
 from ..operators import conversation as C
 from ..operators import explain as E
 from ..operators import feedback as K
+from ..operators import lexical as X
 from ..operators import rank as W
 from ..operators import retrieve as R
 from ..operators import score as S
@@ -78,7 +79,7 @@ def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 of each benchmark text against all documents, the ten best."""
     q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), "text")
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("document"))
-    return W.top(R.bm25(q, docs).withColumn("score", F.round("rank_score", 6)), W.quality_order(), 10).select("request_id", "item_id", "rank", F.round("score", 4).alias("score"))
+    return X.lexical_top_k(q, docs, 10).select("request_id", "item_id", "rank", F.round("rank_score", 4).alias("score"))
 
 
 _tok = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '')"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
@@ -29,3 +29,10 @@ def intermediate_folder(spark: SparkSession) -> str:
     path = f"{shared_path(spark)}/{uuid.uuid4().hex}"
     delete_at_exit(spark, path)
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written to the shared folder and read back: it is made once, and a lost executor costs a read."""
+    path = f"{intermediate_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
