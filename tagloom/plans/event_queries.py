@@ -93,7 +93,7 @@ def candidate_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of the whole catalogue that pass a request's price, brand, audience and term filters, counted by request."""
     r = requests(spark, sf_dir).select("request_id", "budget", F.col("gender").alias("wanted"), F.concat(F.lit("brand#"), (F.col("request_id") % 25).cast("string")).alias("house"))
     c = catalog(spark, sf_dir).where(R.without_terms(F.col("accords"), F.col("notes"), F.array(F.lit("oud"), F.lit("bergamot"))))
-    counts = R.count_passing(r, c)
+    counts = R.count_passing(r.withColumn("reference_id", F.col("request_id")), c)
     limit = (F.col("request_id") % 100 + 1).cast("int")
     return counts.select("request_id", "n_items", R.pool_size(limit).alias("pool"), R.fetch_size(limit).alias("fetch"))
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from tagloom.plans.tables import catalog, requests
 
@@ -27,4 +29,4 @@ def test_counts_with_unknown_values(spark):
 
     items = spark.createDataFrame([(1, 5.0, "a", "male"), (2, None, "b", None), (3, 9.0, None, "female"), (None, 1.0, "c", "male")], "item_id long, price double, brand string, gender string")
     asked = spark.createDataFrame([(1, 5.0, None, "z"), (7, 5.0, None, "z"), (8, None, "male", "z"), (9, None, None, "b"), (10, 1.0, None, None)], "request_id long, budget double, wanted string, house string")
-    assert {r.request_id: r.n_items for r in count_passing(asked, items).collect()} == {1: 0, 7: 1, 8: 2, 9: 2, 10: 0}
+    assert {r.request_id: r.n_items for r in count_passing(asked.withColumn("reference_id", F.col("request_id")), items).collect()} == {1: 0, 7: 1, 8: 2, 9: 2, 10: 0}
