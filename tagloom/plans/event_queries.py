@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,15 +106,54 @@ SELECT request_id, count(item_id) AS n_items, CAST(least(1000, greatest((request
  AND NOT (contains(brand, ref) OR contains(ref, brand)) AND (wanted IS NULL OR gender IS NULL OR gender = 'unisex' OR gender = wanted) GROUP BY request_id"""
 
 
-def named_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The customer that a sentence names, by its own and its segment's name."""
-    c = read(spark, sf_dir, "customer")
-    items = c.select(F.col("c_custkey").alias("item_id"), F.lower("c_mktsegment").alias("brand"), F.regexp_replace("c_name", "#", "").alias("item"), F.array("c_name").alias("notes"))
-    text = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("similar to "), F.lower("c_mktsegment"), F.lit(" "), F.regexp_replace("c_name", "#", ""))).otherwise(F.concat(F.lit("smells like "), F.regexp_replace("c_name", "#", "")))
-    return R.named_items(c.select(F.col("c_custkey").alias("request_id"), text.alias("text")), items)
+def _named_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as named items: four of a name at least, of one house or of several."""
+    k = F.col("p_partkey")
+    digits = lambda of, n: F.substring(F.md5(of.cast("string").cast("binary")), 1, n)
+    item = F.concat(F.split("p_name", " ")[1], F.lit(" "), digits(F.floor(k / 4), 7))
+    brand = F.concat(F.lit("maison "), digits(F.when(F.floor(k / 4) % 3 == 0, k % 4).otherwise(F.floor(k / 4) % 50) + 1000, 5))
+    return read(spark, sf_dir, "part").select(k.alias("item_id"), brand.alias("brand"), item.alias("item"), F.when(F.col("p_size") % 3 > 0, F.array("p_name")).alias("notes"))
 
 
-NAMED_SQL = "SELECT c_custkey AS request_id, c_custkey AS item_id, CAST(CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END AS INT) AS tier FROM customer"
+def named_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The item that a customer's sentence names: by brand and name, inside a longer word, misspelt with its brand or alone, or not at all."""
+    items = _named_view(spark, sf_dir)
+    n = read(spark, sf_dir, "part").agg(F.count("*").alias("n"))
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id")).join(F.broadcast(n)).withColumn("item_id", (F.col("request_id") * 7) % F.col("n") + 1)
+    kind, both = F.col("request_id") % 6, F.concat("brand", F.lit(" "), "item")
+    broken = lambda x: F.concat(F.substring(x, 1, 5), F.lit("x"), F.expr("substring(item, 7)"))
+    text = (
+        F.when(kind == 0, F.concat(F.lit("Similar to "), both)).when(kind == 1, F.concat(F.lit("my new"), "item", F.lit("ish scent")))
+        .when(kind == 2, F.concat("brand", F.lit(" and "), broken(F.col("item")))).when(kind == 3, F.concat(F.lit("like "), broken(F.col("item")))).when(kind == 4, F.concat(F.lit("any "), "item")).otherwise("something fresh")
+    )
+    return R.named_items(c.join(items, "item_id").select("request_id", text.alias("text")), items)
+
+
+_grams = lambda x: f"flatten(list_transform(list_filter(string_split({x}, ' '), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: ('  ' || w || ' ')[i:i + 2])))"
+_sim = lambda want, have: f"""list_max(flatten(list_transform(range(1, len({have}) + 1), lambda lo: list_transform(range(lo, CASE WHEN list_contains({want}, {have}[lo]) THEN len({have}) + 1 ELSE lo END),
+ lambda hi: CASE WHEN list_contains({want}, {have}[hi]) THEN len(list_intersect({want}, {have}[lo:hi])) / (len({want}) + len(list_distinct({have}[lo:hi])) - len(list_intersect({want}, {have}[lo:hi])))::DOUBLE ELSE 0 END))))"""
+_phrases = lambda x: functools.reduce(lambda q, p: f"replace({q}, '{p}', ' ')", P.LOOKUP_PHRASES, x)
+_clean = f"array_to_string(list_filter(regexp_split_to_array({_phrases('q')}, '\\s+'), lambda w: w NOT IN ('', {', '.join(repr(w) for w in P.LOOKUP_STOP_WORDS)})), ' ')"
+_house = "len(hs) <= 1 OR (len(core) >= 4 AND len(list_filter(hs, lambda x: NOT contains(x, core))) = 0)"
+NAMED_SQL = f"""WITH i AS (SELECT p_partkey AS item_id, p_partkey // 4 AS g, split_part(p_name, ' ', 2) || ' ' || md5(CAST(p_partkey // 4 AS VARCHAR))[1:7] AS p,
+  'maison ' || md5(CAST(CASE WHEN p_partkey // 4 % 3 = 0 THEN p_partkey % 4 ELSE p_partkey // 4 % 50 END + 1000 AS VARCHAR))[1:5] AS b, CASE WHEN p_size % 3 > 0 THEN 0 ELSE 1 END AS bare FROM part),
+t AS (SELECT c_custkey AS request_id, c_custkey % 6 AS kind, (c_custkey * 7) % (SELECT count(*) FROM part) + 1 AS item_id FROM customer),
+a AS (SELECT request_id, CASE kind WHEN 0 THEN 'similar to ' || b || ' ' || p WHEN 1 THEN 'my new' || p || 'ish scent' WHEN 2 THEN b || ' and ' || p[1:5] || 'x' || p[7:] WHEN 3 THEN 'like ' || p[1:5] || 'x' || p[7:] WHEN 4 THEN 'any ' || p ELSE 'something fresh' END AS q FROM t JOIN i USING (item_id)),
+c AS (SELECT request_id, q, {{clean}} AS clean FROM a),
+names AS (SELECT DISTINCT p FROM i), brands AS (SELECT DISTINCT b FROM i),
+t1 AS (SELECT request_id, item_id, 1 AS tier FROM c JOIN (SELECT i.*, request_id AS r FROM c JOIN names n ON contains(q, n.p) JOIN i USING (p) WHERE contains(q, b)) x ON r = request_id QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY bare, len(p), item_id) = 1),
+w AS (SELECT request_id, i.*, min(bare) OVER (PARTITION BY request_id) AS low FROM c JOIN names n ON contains(clean, n.p) AND len(n.p) >= 4 JOIN i USING (p)),
+h AS (SELECT request_id, list_sort(list(DISTINCT b)) AS hs, list_sort(list(DISTINCT {{{{'n': len(b), 'x': b}}}}))[1].x AS core FROM w WHERE bare = low GROUP BY 1),
+t2 AS (SELECT request_id, item_id, 2 AS tier FROM w JOIN h USING (request_id) WHERE bare = low AND ({_house}) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY len(p) DESC, item_id) = 1),
+o AS (SELECT *, {_grams('clean')} AS have FROM c WHERE request_id NOT IN (SELECT request_id FROM t1 UNION ALL SELECT request_id FROM t2)),
+pw AS (SELECT p, list_distinct({_grams('p')}) AS want FROM names), bw AS (SELECT b, list_distinct({_grams('b')}) AS want FROM brands),
+d AS (SELECT DISTINCT clean, have FROM o), pc AS (SELECT clean, have, p, want FROM d JOIN pw ON len(list_intersect(want, have)) > 0.3 * len(want)), bc AS (SELECT clean, have, b, want FROM d JOIN bw ON len(list_intersect(want, have)) > 0.3 * len(want)),
+ps AS (SELECT clean, p, {_sim('want', 'have')} AS sp FROM pc), bs AS (SELECT clean, b, {_sim('want', 'have')} AS sb FROM bc),
+t3 AS (SELECT request_id, item_id, 3 AS tier FROM o JOIN ps USING (clean) JOIN bs USING (clean) JOIN i USING (p, b) WHERE sp > 0.3 AND sb > 0.3 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY bare, sp + sb DESC, len(p), item_id) = 1),
+w4 AS (SELECT request_id, sp, i.*, min(bare) OVER (PARTITION BY request_id) AS low FROM o JOIN ps USING (clean) JOIN i USING (p) WHERE sp > 0.45),
+h4 AS (SELECT request_id, list_sort(list(DISTINCT b)) AS hs, list_sort(list(DISTINCT {{{{'n': len(b), 'x': b}}}}))[1].x AS core FROM w4 WHERE bare = low GROUP BY 1),
+t4 AS (SELECT request_id, item_id, 4 AS tier FROM w4 JOIN h4 USING (request_id) WHERE bare = low AND ({_house}) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY sp DESC, len(p), item_id) = 1)
+SELECT request_id, arg_min(item_id, tier) AS item_id, CAST(min(tier) AS INT) AS tier FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3 UNION ALL SELECT * FROM t4) GROUP BY request_id""".replace("{clean}", _clean).replace("{{", "{").replace("}}", "}")
 
 
 def colour_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
