@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,26 +72,68 @@ def rates(counts: DataFrame) -> DataFrame:
 
 
 def weight_grid(spark, n: int, low: float = 0.02, high: float = 0.40, seed: int = 5) -> DataFrame:
-    """n weight vectors that sum to one, repeatable by their seed."""
+    """n weight vectors that sum to one, repeatable by their seed: digits of MD5 between the bounds, then divided by their sum."""
     names = list(vocab.WEIGHTS)
-    raw = spark.range(n).select(F.col("id").alias("vector_id"), *[(low + (high - low) * F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(10**9)) / 1e9).alias(k) for k in names])
+    draw = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "id", F.lit(k)).cast("binary")), 1, 8), 16, 10).cast("double") / 2**32
+    raw = spark.range(n).select(F.col("id").alias("vector_id"), *[(low + (high - low) * draw(k)).alias(k) for k in names])
     total = sum((F.col(k) for k in names[1:]), F.col(names[0]))
     return raw.select("vector_id", *[(F.col(k) / total).alias(k) for k in names])
 
 
+#: Weight vectors that are evaluated at a time.
+WEIGHT_BLOCK = 2048
+
+
 def evaluate_weights(scored: DataFrame, weights: DataFrame, least: int = 5, low: float = 0.02, high: float = 0.40) -> DataFrame:
     """(vector_id, objective) of each weight vector, over scored(request_id, item_id, clicks, impressions, fit_..).
 
-    The score is computed anew for each vector; clicks are discounted by the rank that it gives. Vectors outside the
-    bounds pay for it. Weight vectors are few, so they are broadcast.
+    The score is computed anew for each vector; clicks are discounted by the rank that it gives, equal scores, to twelve digits, by item_id. Vectors outside the
+    bounds pay for it. A request's candidates meet in a task as a sorted stream; their fits times a block of weights is one matrix
+    product, and a task hands on one sum a vector. Weights pass through the driver, ``WEIGHT_BLOCK`` at a time.
     """
     names = [k for k in vocab.WEIGHTS if f"fit_{k}" in scored.columns]
-    pairs = scored.where(F.col("impressions") >= least).join(F.broadcast(weights.select("vector_id", *[F.col(k).alias(f"w_{k}") for k in names])))
-    total = sum((F.col(f"w_{k}") * F.col(f"fit_{k}") for k in names[1:]), F.col(f"w_{names[0]}") * F.col(f"fit_{names[0]}"))
-    ranked = pairs.withColumn("_s", total).withColumn("_r", F.row_number().over(Window.partitionBy("vector_id", "request_id").orderBy(F.desc("_s"), "item_id")))
-    gain = ranked.groupBy("vector_id").agg((F.sum(F.col("clicks") / F.log2(F.col("_r") + 1)) / F.sum("impressions")).alias("_gain"))
+    spark, n = scored.sparkSession, weights.count()
+    kept = scored.where(F.col("impressions") >= least).select("request_id", F.col("item_id").cast("long").alias("item_id"), *[F.col(c).cast("double").alias(c) for c in ("clicks", "impressions")], F.array(*[F.coalesce(F.col(f"fit_{k}").cast("double"), F.lit(0.0)) for k in names]).alias("fits"))
+    kept = kept.repartition("request_id").sortWithinPartitions("request_id", "item_id")
+    out = None
+    for p in range(max(1, -(-n // WEIGHT_BLOCK))):
+        block = weights.where(F.pmod(F.xxhash64("vector_id"), F.lit(max(1, -(-n // WEIGHT_BLOCK)))) == p).select(F.col("vector_id").cast("long").alias("vector_id"), *names).toPandas()
+        sent = spark.sparkContext.broadcast((block["vector_id"].to_numpy(), block[names].to_numpy(float)))
+
+        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, w = sent.value
+            gain, shown, held = np.zeros(len(ids)), 0.0, []
+
+            def close() -> None:
+                """Add a whole request: its rows are held in item order."""
+                nonlocal gain
+                clicks, fits = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+                scores = np.round(fits @ w.T, 12)
+                rank = np.argsort(np.argsort(-scores, axis=0, kind="stable"), axis=0, kind="stable") + 1
+                gain += (clicks[:, None] / np.log2(rank + 1)).sum(axis=0)
+                held.clear()
+
+            now = None
+            for batch in batches:
+                request = batch.column("request_id").to_pylist()
+                clicks, seen = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("clicks", "impressions"))
+                fits = batch.column("fits").flatten().to_numpy(zero_copy_only=False).reshape(len(request), -1)
+                shown += seen.sum()
+                cuts = [0, *[i for i in range(1, len(request)) if request[i] != request[i - 1]], len(request)]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    if held and request[lo] != now:
+                        close()
+                    now = request[lo]
+                    held.append((clicks[lo:hi], fits[lo:hi]))
+            if held:
+                close()
+            yield pa.RecordBatch.from_pydict({"vector_id": pa.array(ids, pa.int64()), "gain": gain, "shown": np.full(len(ids), float(shown))})
+
+        part = kept.mapInArrow(run, "vector_id long, gain double, shown double")
+        out = part if out is None else out.unionByName(part)
+    gains = out.groupBy("vector_id").agg(F.try_divide(F.sum("gain"), F.sum("shown")).alias("_gain"))
     fine = sum((F.when(~F.col(k).between(low, high), 0.01 * F.abs(F.col(k) - 0.2)).otherwise(0.0) for k in names[1:]), F.when(~F.col(names[0]).between(low, high), 0.01 * F.abs(F.col(names[0]) - 0.2)).otherwise(0.0))
-    return gain.join(F.broadcast(weights.withColumn("_fine", fine).select("vector_id", "_fine")), "vector_id").select("vector_id", (F.col("_gain") - F.col("_fine")).alias("objective"))
+    return gains.join(weights.withColumn("_fine", fine).select("vector_id", "_fine"), "vector_id").select("vector_id", (F.col("_gain") - F.col("_fine")).alias("objective"))
 
 
 def variant_weights(variant: Column) -> Column:
@@ -126,19 +171,44 @@ def missing_image_vectors(df: DataFrame) -> DataFrame:
     return df.where(F.col("image_url").isNotNull() & F.col("image_embedding").isNull())
 
 
+def signed_places(text: Column, size: int) -> Column:
+    """For each word its place among ``size``, counted from 1, with the sign that its hash gives: digits 1 to 8 and digit 9 of its MD5."""
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+    def place(word: Column) -> Column:
+        digits = F.md5(word.cast("binary"))
+        at = F.conv(F.substring(digits, 1, 8), 16, 10).cast("long") % size + 1
+        return F.when(F.conv(F.substring(digits, 9, 1), 16, 10).cast("int") % 2 == 0, at).otherwise(-at).cast("int")
+
+    return F.transform(words, place)
+
+
+def hashed_vector(places: Column, size: int) -> Column:
+    """The unit vector of summed signs; of no words, or of words that cancel out, the zero vector."""
+
+    @F.pandas_udf("array<float>")
+    def run(batches: pd.Series) -> pd.Series:
+        def one(held: np.ndarray | None) -> np.ndarray:
+            at = np.asarray(held if held is not None else [], dtype=int)
+            v = np.bincount(np.abs(at) - 1, weights=np.sign(at), minlength=size) if len(at) else np.zeros(size)
+            return v / max(np.sqrt((v * v).sum()), 1e-300)
+
+        return batches.map(one)
+
+    return run(places)
+
+
 def embed(df: DataFrame, text: str = "text", size: int = 384, query: bool = False, model=None) -> DataFrame:
-    """df with ``vec``. ``model``, called once in each task, maps a list of texts to vectors; the default hashes words.
+    """df with ``vec``. ``model``, called once for each batch, maps a list of texts to vectors; the default hashes words with signs.
 
-    Queries get an instruction before the text.
+    Queries get an instruction before the text; a null text is empty.
     """
     prompt = F.concat(F.lit("query: "), F.coalesce(text, F.lit(""))) if query else F.coalesce(text, F.lit(""))
-    if model is not None:
-        import pandas as pd
+    if model is None:
+        return df.withColumn("vec", hashed_vector(signed_places(prompt, size), size))
 
-        @F.pandas_udf("array<float>")
-        def run(batches: "pd.Series") -> "pd.Series":
-            return pd.Series([list(map(float, v)) for v in model(batches.tolist())])
+    @F.pandas_udf("array<float>")
+    def run(batches: pd.Series) -> pd.Series:
+        return pd.Series([list(map(float, v)) for v in model(batches.tolist())])
 
-        return df.withColumn("vec", run(prompt))
-    hashed = HashingTF(inputCol="_w", outputCol="_h", numFeatures=size).transform(df.withColumn("_w", F.split(F.lower(prompt), r"\s+")))
-    return Normalizer(inputCol="_h", outputCol="_u").transform(hashed).withColumn("vec", vector_to_array("_u", "float32")).drop("_w", "_h", "_u")
+    return df.withColumn("vec", run(prompt))

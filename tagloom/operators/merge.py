@@ -22,7 +22,10 @@ def priority_fold(rows: DataFrame, key: str, fill: list[str] = (), union: list[s
     are joined without repeats. A list of a key with one kept row is left as it is.
     Null priorities count as zero; ties of load_order go by the row's other columns' hash.
     """
-    tie = F.xxhash64(*[c for c in rows.columns])
+    columns, tie = rows.columns, F.xxhash64(*rows.columns)
+    # of a key's rows of one priority only the earliest can replace another: partial aggregates leave a row for each key and priority
+    first = rows.groupBy(F.col(key).alias("_key"), F.coalesce("source_priority", F.lit(0)).alias("_priority")).agg(F.min_by(F.struct(*columns), F.struct("load_order", tie)).alias("_row"))
+    rows = first.select("_row.*")
     by = Window.partitionBy(key).orderBy("load_order", tie)
     before = F.max(F.coalesce("source_priority", F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, -1))
     ladder = rows.withColumn("_before", before).where(F.col("_before").isNull() | (F.coalesce("source_priority", F.lit(0)) > F.col("_before"))).drop("_before")
@@ -69,12 +72,12 @@ def merged_value(new: Column, old: Column, policy: str) -> Column:
     return F.coalesce(new, old) if policy == "keep" else new
 
 
-def merge(stored: DataFrame, batch: DataFrame, keep: list[str] = KEEP_OLD_IF_NULL, now: Column | None = None) -> DataFrame:
+def merge(stored: DataFrame, batch: DataFrame, keep: list[str] = KEEP_OLD_IF_NULL, now: Column | None = None, last_id: int | None = None) -> DataFrame:
     """stored after an upsert of batch; both have the same columns but item_id, which batch lacks.
 
     Rows are resolved, and applied as if one by one in load_order: a priority lower than the present one is skipped, and
     a later row finds an earlier new one by its key. For updates ``keep`` columns stay where the new value is null, all others take the new value;
-    brand and item never change; an empty list is written as null. New rows get ids after the largest.
+    brand and item never change; an empty list is written as null. New rows get ids after ``last_id``, or the largest stored one.
     ``updated_at``, where it exists, moves only if another column changed.
     """
     now = F.current_timestamp() if now is None else now
@@ -100,7 +103,7 @@ def merge(stored: DataFrame, batch: DataFrame, keep: list[str] = KEEP_OLD_IF_NUL
         value["updated_at"] = F.when(changed, now).otherwise(F.col("updated_at"))
     updated = joined.select("item_id", *[value.get(c, F.col(c)).alias(c) for c in columns])
     fresh = ready.where("target_id is null").drop("target_id")
-    base = stored.agg(F.coalesce(F.max("item_id"), F.lit(0)).alias("_base"))
+    base = stored.agg(F.coalesce(F.max("item_id") if last_id is None else F.lit(last_id), F.lit(0)).cast("long").alias("_base"))
     stamped = fresh.withColumn("updated_at", now) if "updated_at" in columns else fresh
     numbered = numbered_after(stamped, base)
     return updated.unionByName(numbered.select("item_id", *columns), allowMissingColumns=True)
