@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..functions import intent as I
 from ..functions import text as P
 from ..operators import conversation as C
@@ -18,7 +19,7 @@ from ..operators import retrieve as R
 from ..operators import score as S
 from ..operators import telemetry as T
 from ..streaming import jobs as L
-from .catalog_queries import scored
+from .catalog_queries import FIT_SQL, scored
 from .shared import intermediate_folder
 from .tables import CATALOG_SQL, EVENTS_SQL, LOG_SQL, catalog, read, request_log, requests, session_events, vector_requests, vectors
 
@@ -285,6 +286,15 @@ def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.evaluate_weights(s, K.weight_grid(spark, 40)).select("vector_id", F.round("objective", 6).alias("objective"))
 
 
+_names = ["sim", *[n for n in vocab.WEIGHTS if n in ("price", "gender", "longevity", "scenario", "projection", "age", "family")]]
+_draw = lambda k: f"(0.02::DOUBLE + 0.38::DOUBLE * (('0x' || md5('5:' || id || ':{k}')[1:8])::BIGINT / 4294967296::DOUBLE))"
+SWEEP_SQL = f"""{FIT_SQL[: FIT_SQL.rindex(' SELECT ')]}, raw AS (SELECT id AS vector_id, {', '.join(f'{_draw(k)} AS {k}' for k in vocab.WEIGHTS)} FROM range(40) AS t(id)),
+w AS (SELECT vector_id, {', '.join(f"{k} / ({' + '.join(vocab.WEIGHTS)}) AS w_{k}" for k in vocab.WEIGHTS)} FROM raw),
+s AS (SELECT vector_id, request_id, item_id, item_id % 5 AS clicks, round({' + '.join(f"w_{n} * CAST({'(item_id % 10) / 10' if n == 'sim' else n + '_fit'} AS DOUBLE)" for n in _names)}, 12) AS score, {' + '.join(f"CASE WHEN w_{n} BETWEEN 0.02 AND 0.4 THEN 0 ELSE 0.01::DOUBLE * abs(w_{n} - 0.2) END" for n in _names)} AS fine FROM fits, w),
+r AS (SELECT *, row_number() OVER (PARTITION BY vector_id, request_id ORDER BY score DESC, item_id) AS n FROM s)
+SELECT vector_id, round(sum(clicks / log2(n + 1)) / (6 * count(*)) - any_value(fine), 6) AS objective FROM r GROUP BY vector_id"""
+
+
 def experiment_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"))
     w = K.variant_weights(F.when(F.col("request_id") % 3 == 0, F.lit('v2_{"sim": 0.5}')).when(F.col("request_id") % 3 == 1, "v2_{broken").otherwise("control"))
@@ -313,12 +323,14 @@ STALE_SQL = "SELECT o_orderkey FROM orders LEFT JOIN (SELECT l_orderkey, max(l_s
 
 
 def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Default embedding of all documents: unit vectors of word counts."""
-    d = K.embed(read(spark, sf_dir, "documents"), "text", 128)
-    return d.select("doc_id", F.size("vec").alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm"))
+    """Default embedding of all documents: the entries of each vector that are not zero."""
+    d = K.embed(read(spark, sf_dir, "documents"), "text", 128).select("doc_id", F.posexplode("vec").alias("place", "value"))
+    return d.where("value <> 0").select("doc_id", "place", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
-EMBED_SQL = "SELECT doc_id, CAST(128 AS INT) AS dim, CAST(1 AS DOUBLE) AS norm FROM documents"
+EMBED_SQL = """WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS w FROM documents),
+e AS (SELECT doc_id, CAST(('0x' || md5(w)[1:8])::BIGINT % 128 AS INT) AS place, sum(CASE WHEN ('0x' || md5(w)[9])::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS n FROM w GROUP BY ALL)
+SELECT doc_id, place, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM e QUALIFY n <> 0"""
 
 
 def latency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,7 +413,7 @@ QUERIES = {
     "budget_slice": (budget_slice, SLICE_SQL), "vector_top_k": (vector_top_k, TOPK_SQL), "reference_top_k": (reference_top_k, REFERENCE_SQL), "approximate_recall": (approximate_recall, None), "lexical_rank": (lexical_rank, BM25_SQL),
     "candidate_predicates": (candidate_predicates, PREDICATE_SQL), "named_items": (named_items, NAMED_SQL), "colour_neighbours": (colour_neighbours, COLOUR_SQL), "anchor_labels": (anchor_labels, ANCHOR_SQL), "semantic_labels": (semantic_labels, SEMANTIC_SQL),
     "preferences": (preferences, PREFERENCE_SQL), "negations_and_ages": (negations_and_ages, None), "explanations": (explanations, None), "session_profiles": (session_profiles, PROFILE_SQL), "variant_funnel": (variant_funnel, FUNNEL_SQL), "live_funnel": (live_funnel, LIVE_SQL),
-    "weight_sweep": (weight_sweep, None), "experiment_buckets": (experiment_buckets, BUCKET_SQL), "item_ratings": (item_ratings, RATING_SQL), "stale_rows": (stale_rows, STALE_SQL), "hashed_embedding": (hashed_embedding, EMBED_SQL),
+    "weight_sweep": (weight_sweep, SWEEP_SQL), "experiment_buckets": (experiment_buckets, BUCKET_SQL), "item_ratings": (item_ratings, RATING_SQL), "stale_rows": (stale_rows, STALE_SQL), "hashed_embedding": (hashed_embedding, EMBED_SQL),
     "latency_report": (latency_report, LATENCY_SQL), "latency_histogram": (latency_histogram, HISTOGRAM_SQL), "failure_report": (failure_report, FAILURE_SQL), "rejection_report": (rejection_report, REJECTION_SQL), "overall_report": (overall_report, OVERALL_SQL),
     "active_segments": (active_segments, SEGMENT_SQL), "sliding_context": (sliding_context, CONTEXT_SQL), "follow_ups": (follow_ups, FOLLOW_SQL), "recent_conversations": (recent_conversations, RECENT_SQL),
 }

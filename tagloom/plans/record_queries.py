@@ -216,22 +216,82 @@ SELECT CASE WHEN e IN ({_known}) THEN 'good' ELSE 'bad' END AS target, coalesce(
 
 
 def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running means over each session's newest clicks; the last row of each session after several batches."""
+    """Each session's whole profile from a stream of clicks; the last row of each session after several batches."""
     folder = intermediate_folder(spark)
-    items = catalog(spark, sf_dir).select("item_id", F.col("price").cast("double").alias("price"))
-    clicks = session_events(spark, sf_dir).where("event_type = 'click'").join(items, "item_id")
-    clicks = clicks.select("session_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("score").cast("double").alias("score"), "price")
-    out = L.session_stream(_stream(spark, clicks, folder), 5)
+    items = catalog(spark, sf_dir).select("item_id", F.col("price").cast("double").alias("price"), "brand", "accords", "gender", F.lit(True).alias("known"))
+    clicks = session_events(spark, sf_dir).where("event_type = 'click'").join(items, "item_id", "left")
+    clicks = clicks.select("session_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("score").cast("double").alias("score"), "price", "brand", "accords", "gender", F.coalesce("known", F.lit(False)).alias("known"))
+    out = L.session_stream(_stream(spark, clicks, folder))
     write = lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/n={n}")
-    out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    schema = "session_id long, n_clicks long, mean_score double, mean_price double, batch int"
-    every = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/out")
-    last = every.groupBy("session_id").agg(F.max_by(F.struct("n_clicks", "mean_score", "mean_price"), "batch").alias("x"))
-    return last.select("session_id", "x.n_clicks", F.round("x.mean_score", 4).alias("mean_score"), F.round("x.mean_price", 4).alias("mean_price"))
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(idle)
+    spark.conf.set(idle, "false")  # or processing time would ask for batches without end
+    try:
+        out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(idle, before)
+    names = [c for c in out.columns if c != "session_id"]
+    every = spark.read.schema(f"{', '.join(f'{c} {t}' for c, t in out.dtypes)}, batch int").option("recursiveFileLookup", True).parquet(f"{folder}/out")
+    last = every.groupBy("session_id").agg(F.max_by(F.struct(*names), "batch").alias("x")).select("session_id", "x.*")
+    listed = lambda c: F.array_join(c, ",")
+    return last.select(
+        "session_id", "n_clicks", F.round(F.col("mean_score") * F.col("n_clicks"), 2).alias("sum_score"), F.round(F.col("mean_price") * F.col("n_clicks"), 1).alias("sum_price"), "price_band",
+        listed("top_brands").alias("brands"), listed("top_accords").alias("accords"), F.coalesce("gender", F.lit("none")).alias("gender"),
+    )
+
+
+STREAM_SQL = f"SELECT * EXCLUDE (has_text) FROM ({PROFILE_SQL})"
+
+
+def incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of supplier rows, several to a target, merged as a stream into a catalogue in buckets."""
+    folder, k = intermediate_folder(spark), F.col("s_suppkey")
+    s = read(spark, sf_dir, "supplier").withColumns({"brand": F.col("s_nationkey").cast("string"), "price": F.col("s_acctbal").cast("int")})
+    key = P.normal_key(F.col("brand"), F.col("item"))
+    stored = s.where(k % 3 != 0).select(k.alias("item_id"), "brand", F.col("s_name").alias("item"), "price", F.lit("old").alias("country"), (k % 4).cast("int").alias("source_priority"))
+    L.create_catalog(stored.withColumn("normalized_key", key), f"{folder}/catalog")
+    rows = s.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("batch", F.floor(F.col("n") / 2)).where((k + F.col("n")) % 4 > 0)
+    rows = rows.select(
+        "brand", F.when((k + F.col("n")) % 5 == 0, F.lower("s_name")).otherwise(F.col("s_name")).alias("item"), F.when((k + F.col("n")) % 3 > 0, F.col("price") + F.col("n")).cast("int").alias("price"),
+        F.when((k + F.col("n")) % 7 > 0, F.concat(F.lit("c"), F.col("n"))).alias("country"), ((k * 3 + F.col("n") * 2) % 5).cast("int").alias("source_priority"), (F.col("n").cast("long") * 1_000_000_000 + k).alias("load_order"), "batch",
+    ).withColumn("normalized_key", key)
+    for batch in range(3):
+        # a folder for each batch, so that the stream takes them one after another
+        rows.where(F.col("batch") == batch).drop("batch").coalesce(1).write.parquet(f"{folder}/in/{batch}")
+        stream = spark.readStream.schema(rows.drop("batch").schema).parquet(f"{folder}/in/[0-{batch}]")
+        L.merge_stream(stream, f"{folder}/catalog", f"{folder}/state").awaitTermination()
+    found = L.read_catalog(spark, f"{folder}/catalog", "item_id long, brand string, item string, price int, country string, source_priority int")
+    last = stored.agg(F.max("item_id").alias("last"))
+    return found.join(F.broadcast(last)).select(F.when(F.col("item_id") > F.col("last"), -1).otherwise(F.col("item_id")).alias("item_id"), "brand", "item", "price", F.coalesce("country", F.lit("none")).alias("country"), "source_priority")
+
+
+INCREMENTAL_SQL = """WITH s AS (SELECT s_suppkey AS k, CAST(s_nationkey AS VARCHAR) AS brand, s_name, CAST(trunc(s_acctbal) AS INT) AS price FROM supplier),
+r AS (SELECT k, -1 AS n, s_name AS item, price, 'old' AS country, k % 4 AS p FROM s WHERE k % 3 <> 0
+ UNION ALL SELECT k, n, CASE WHEN (k + n) % 5 = 0 THEN lower(s_name) ELSE s_name END, CASE WHEN (k + n) % 3 > 0 THEN price + n END, CASE WHEN (k + n) % 7 > 0 THEN 'c' || n END, (k * 3 + n * 2) % 5 FROM s, range(6) AS t(n) WHERE (k + n) % 4 > 0),
+f AS (SELECT *, max(p) OVER (PARTITION BY k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS floor FROM r), c AS (SELECT * FROM f WHERE floor IS NULL OR p >= floor)
+SELECT CASE WHEN k % 3 <> 0 THEN k ELSE -1 END AS item_id, any_value(brand) AS brand, arg_min(item, n) AS item, CAST(arg_max(c.price, n) FILTER (c.price IS NOT NULL) AS INT) AS price, coalesce(arg_max(country, n) FILTER (country IS NOT NULL), 'none') AS country,
+ CAST(arg_max(p, n) AS INT) AS source_priority FROM c JOIN s USING (k) GROUP BY k"""
+
+
+def incremental_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of parts as a stream of several batches: rows whose vector is stale are embedded and stamped; the vectors' entries."""
+    folder, k = intermediate_folder(spark), F.col("p_partkey")
+    at = lambda day: F.to_timestamp(F.lit(f"2024-01-0{day}"))
+    changes = read(spark, sf_dir, "part").select(
+        k.alias("item_id"), F.concat_ws(" ", "p_name", F.lower("p_brand"), "p_name").alias("text"), F.when(k % 3 > 0, F.array(F.lit(1.0).cast("float"))).alias("embedding"),
+        F.when(k % 3 > 0, F.when(k % 4 > 0, at(2)).otherwise(at(4))).alias("last_embedded_at"), at(3).alias("updated_at"),
+    )
+    write = lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/n={n}")
+    L.embed_stream(_stream(spark, changes, folder), write, f"{folder}/state", size=64).awaitTermination()
+    done = spark.read.schema("item_id long, embedding array<float>, last_embedded_at timestamp").option("recursiveFileLookup", True).parquet(f"{folder}/out")
+    entries = done.where(F.col("last_embedded_at") > at(5)).select("item_id", F.posexplode("embedding").alias("place", "value"))
+    return entries.where("value <> 0").select("item_id", "place", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
-STREAM_SQL = f"""WITH {EVENTS_SQL}, c AS (SELECT session_id, score, CAST(p_retailprice AS DOUBLE) AS price FROM feedback JOIN part ON p_partkey = item_id WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) <= 5)
-SELECT session_id, count(*) AS n_clicks, round(avg(coalesce(score, 0)), 4) AS mean_score, round(avg(price), 4) AS mean_price FROM c GROUP BY session_id"""
+_entries = lambda words, size: f"""h AS (SELECT id, ('0x' || md5(w)[1:8])::BIGINT % {size} AS place, CASE WHEN ('0x' || md5(w)[9])::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS sign FROM ({words})),
+e AS (SELECT id, CAST(place AS INT) AS place, sum(sign) AS n FROM h GROUP BY ALL)"""
+INCREMENTAL_EMBED_SQL = f"""WITH {_entries("SELECT p_partkey AS id, unnest(string_split(lower(p_name || ' ' || p_brand || ' ' || p_name), ' ')) AS w FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 4 > 0", 64)}
+SELECT id AS item_id, place, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS FLOAT) AS DOUBLE), 5) AS value FROM e QUALIFY n <> 0"""
 
 
 # the profile's SQL gives lists joined by a bare comma and the word none for no audience
@@ -242,5 +302,5 @@ QUERIES = {
     "source_records": (source_records, SOURCE_SQL), "stored_lookup": (stored_lookup, LOOKUP_SQL), "rating_log": (rating_log, RATING_LOG_SQL), "metrics_text": (metrics_text, METRICS_SQL),
     "output_rows": (output_rows, OUTPUT_SQL), "event_ages": (event_ages, AGES_SQL), "image_backlog": (image_backlog, BACKLOG_SQL), "merged_scenarios": (merged_scenarios, MERGED_SQL),
     "note_tiers": (note_tiers, TIERS_SQL), "session_sentences": (session_sentences, SENTENCE_SQL), "brand_houses": (brand_houses, HOUSE_SQL), "ingested_events": (ingested_events, INGEST_SQL),
-    "session_stream": (session_stream, STREAM_SQL),
+    "session_stream": (session_stream, STREAM_SQL), "incremental_merge": (incremental_merge, INCREMENTAL_SQL), "incremental_embedding": (incremental_embedding, INCREMENTAL_EMBED_SQL),
 }
