@@ -220,24 +220,47 @@ g AS (SELECT request_id, CAST(max(d.hours) AS INT) AS default_hours, arg_min(d.p
 SELECT r.request_id, default_hours, default_projection, CASE WHEN age < 25 THEN 'under_25' WHEN age <= 40 THEN '25_40' WHEN age > 40 THEN '40_plus' END AS bracket, coalesce(scenarios[1], 'daily') AS scenario FROM requests r LEFT JOIN g USING (request_id)"""
 
 
+_BRANDS = ["Chanel", "Dior Homme", "ZARA", "Davidoff", "House of Tom Ford", "Fogg", ""]
+
+
 def character_and_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dominant tag, character, and prices inside the brand's tier (known ones stay)."""
+    """Dominant tag, character, and prices: known ones stay, others lie in the tier of the brand, which brands of all tiers take in turn."""
     c = catalog(spark, sf_dir)
     buckets = {"woody": ["woody", "leather", "oud", "amber"], "fresh": ["fresh", "citrus", "aquatic", "green", "marine"], "sweet": ["sweet", "fruity", "vanilla"]}
-    estimate = X.estimated_price(F.when(F.col("size") % 2 == 0, F.col("price")), F.col("brand"), F.col("item_id"))
-    return c.select("item_id", X.dominant_tag(F.col("accords")).alias("dominant"), F.coalesce(X.character(F.col("accords"), buckets), F.lit("none")).alias("character"), F.when(F.col("size") % 2 == 0, estimate).alias("known_price"), estimate.between(500, 3500).alias("in_tier"))
+    brand = F.concat_ws(" ", F.element_at(P.strings(*_BRANDS), (F.col("item_id") % len(_BRANDS) + 1).cast("int")), F.lit(" "))
+    estimate = X.estimated_price(F.when(F.col("size") % 2 == 0, F.col("price")), brand, F.col("item_id"))
+    return c.select("item_id", X.dominant_tag(F.col("accords")).alias("dominant"), F.coalesce(X.character(F.col("accords"), buckets), F.lit("none")).alias("character"), estimate.alias("price"))
 
 
-CHARACTER_SQL = f"""WITH {CATALOG_SQL}, t AS (SELECT *, len(list_intersect(accords, ['woody', 'leather', 'oud', 'amber'])) AS w, len(list_intersect(accords, ['fresh', 'citrus', 'aquatic', 'green', 'marine'])) AS f, len(list_intersect(accords, ['sweet', 'fruity', 'vanilla'])) AS s FROM catalog)
-SELECT item_id, accords[1] AS dominant, CASE WHEN greatest(w, f, s) = 0 THEN 'none' WHEN w >= f AND w >= s THEN 'woody' WHEN f >= s THEN 'fresh' ELSE 'sweet' END AS character, CASE WHEN size % 2 = 0 THEN CAST(trunc(price) AS INT) END AS known_price, true AS in_tier FROM t"""
+_tier = lambda words: "true" if words == [""] else " OR ".join(f"contains(b, '{w.replace(chr(39), chr(39) * 2)}')" for w in words)
+_TIER_PRICE = " ".join(f"WHEN {_tier(words)} THEN ('0x' || md5(CAST(item_id AS VARCHAR))[1:8])::BIGINT % {hi - lo + 1} + {lo}" for words, lo, hi in vocab.PRICE_TIERS)
+CHARACTER_SQL = f"""WITH {CATALOG_SQL}, t AS (SELECT *, lower({_list(_BRANDS)}[item_id % {len(_BRANDS)} + 1]) AS b, len(list_intersect(accords, ['woody', 'leather', 'oud', 'amber'])) AS w,
+ len(list_intersect(accords, ['fresh', 'citrus', 'aquatic', 'green', 'marine'])) AS f, len(list_intersect(accords, ['sweet', 'fruity', 'vanilla'])) AS s FROM catalog)
+SELECT item_id, accords[1] AS dominant, CASE WHEN greatest(w, f, s) = 0 THEN 'none' WHEN w >= f AND w >= s THEN 'woody' WHEN f >= s THEN 'fresh' ELSE 'sweet' END AS character,
+ CAST(CASE WHEN size % 2 = 0 THEN trunc(price) ELSE CASE {_TIER_PRICE} END END AS INT) AS price FROM t"""
 
 
 def expanded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests as embedding texts, for a search and for an alternative."""
-    r = requests(spark, sf_dir)
-    none = P.strings()
-    args = (none, none, F.col("scenarios"), F.lit("dry"), F.col("families"))
-    return r.select("request_id", F.array_join(X.scenario_terms(F.col("scenarios"), "accords", 6), ",").alias("accords"), X.expanded_query(F.col("text"), *args).alias("search"), X.expanded_query(F.col("text"), *args, alternative=True).alias("alternative"))
+    """Requests as embedding texts, for a search and for an alternative, with and without tags, scenarios, skin and families."""
+    r, k = requests(spark, sf_dir), F.col("request_id")
+    accords = F.when(k % 2 == 0, P.strings("woody", "amber", "sweet"))
+    notes = F.when(k % 3 > 0, F.transform(F.sequence(F.lit(1), k % 13 + 1), lambda i: F.concat(F.lit("note "), i)))
+    skin = F.try_element_at(P.strings(*vocab.SKIN_FAMILIES, "unknown"), (k % (len(vocab.SKIN_FAMILIES) + 2) + 1).cast("int"))
+    args = (accords, notes, F.col("scenarios"), skin, F.col("families"))
+    return r.select(
+        "request_id", F.array_join(X.scenario_terms(F.col("scenarios"), "accords", 6), ",").alias("accords"), X.expanded_query(F.col("text"), *args).alias("search"), X.expanded_query(F.col("text"), *args, alternative=True).alias("alternative"),
+    )
+
+
+_of = lambda i, n: f"""(list_filter(string_split(array_to_string(list_transform(list_filter(coalesce(scenarios, []), lambda s: {sql_map({s: "|".join(v[i]) for s, v in vocab.SCENARIOS.items()})}[s] IS NOT NULL), lambda s: {sql_map({s: "|".join(v[i]) for s, v in vocab.SCENARIOS.items()})}[s]), '|'), '|'), lambda x: x <> ''))"""
+_first = lambda a, n: f"list_filter({a}, lambda x, j: list_position({a}, x) = j)[1:{n}]"
+_say = lambda prefix, a: f"CASE WHEN len({a}) > 0 THEN '{prefix} ' || array_to_string({a}, ', ') END"
+_MEMBERS = sql_map({k: "|".join(v[:4]) for k, v in vocab.FAMILIES.items()})
+_rest = lambda terms: f"""{_say('accords', 'a')}, {_say('notes', 'n[1:10]')}, {_say('for', terms)}, 'skin ' || nullif(array_to_string(string_split(skin, '|'), ', '), ''), {_say('families', 'f')}"""
+EXPANDED_SQL = f"""WITH {REQUESTS_SQL}, t AS (SELECT r.*, lower(c_mktsegment) || ' for ' || c_name AS text, {_first(_of(2, 6), 6)} AS sa, {_first(_of(3, 8), 8)} AS sn, CASE WHEN request_id % 2 = 0 THEN ['woody', 'amber', 'sweet'] END AS a,
+ CASE WHEN request_id % 3 > 0 THEN list_transform(range(1, request_id % 13 + 2), lambda i: 'note ' || i) END AS n, {_list("|".join(v) for v in vocab.SKIN_FAMILIES.values())}[request_id % {len(vocab.SKIN_FAMILIES) + 2} + 1] AS skin,
+ flatten(list_transform(coalesce(families, []), lambda f: string_split({_MEMBERS}[f], '|'))) AS f FROM requests r JOIN customer ON c_custkey = request_id)
+SELECT request_id, array_to_string(sa, ',') AS accords, concat_ws('. ', text, {_rest('sa')}) AS search, concat_ws('. ', 'similar to ' || text, {_rest('sn')}) AS alternative FROM t"""
 
 
 # ---- scoring: every customer's request against the items that the customer has ordered
@@ -415,7 +438,7 @@ QUERIES = {
     "text_normalisation": (text_normalisation, TEXT_SQL), "column_parsing": (column_parsing, PARSE_SQL), "packed_names": (packed_names, PACKED_SQL), "quality_gate": (quality_gate, QUALITY_SQL),
     "coverage_report": (coverage_report, COVERAGE_SQL), "constraint_audit": (constraint_audit, AUDIT_SQL), "request_contract": (request_contract, CONTRACT_SQL), "key_collisions": (key_collisions, COLLISION_SQL),
     "legacy_backfill": (legacy_backfill, BACKFILL_SQL), "priority_fold": (priority_fold, FOLD_SQL), "catalog_merge": (catalog_merge, MERGE_SQL), "tag_tiers": (tag_tiers, TIER_SQL), "derived_scores": (derived_scores, SCORE_SQL),
-    "scenario_performance": (scenario_performance, PERFORMANCE_SQL), "character_and_price": (character_and_price, CHARACTER_SQL), "expanded_queries": (expanded_queries, None), "fit_table": (fit_table, FIT_SQL),
+    "scenario_performance": (scenario_performance, PERFORMANCE_SQL), "character_and_price": (character_and_price, CHARACTER_SQL), "expanded_queries": (expanded_queries, EXPANDED_SQL), "fit_table": (fit_table, FIT_SQL),
     "blended_scores": (blended_scores, BLEND_SQL), "price_orders": (price_orders, ORDER_SQL), "brand_capped": (brand_capped, CAP_SQL), "strictly_capped": (strictly_capped, STRICT_SQL), "diversified_page": (diversified_page, DIVERSE_SQL),
     "external_picks": (external_picks, PICK_SQL), "repriced_picks": (repriced_picks, REPRICED_SQL), "offered_pages": (offered_pages, PAGE_SQL), "composition": (composition, COMPOSITION_SQL),
 }
