@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import intent as I
 from ..functions import text as P
+from ..operators import approximate as A
 from ..operators import conversation as C
 from ..operators import explain as E
 from ..operators import feedback as K
@@ -65,19 +67,36 @@ REFERENCE_SQL = f"WITH {_SIMS} SELECT request_id, item_id, CAST(row_number() OVE
 
 
 def approximate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of signed projections at three numbers of tables against the exact neighbours, and the share of all pairs compared for it."""
+    """Recall of the inverted cells at four numbers of probes against the exact neighbours, and the share of all pairs looked at for it."""
     q, items = vector_requests(spark, sf_dir), vectors(spark, sf_dir)
     exact = R.top_k(q, items, 10)
-    sizes = q.agg(F.count("*").alias("n")).crossJoin(items.agg(F.count("*").alias("m")))
-    found = compared = None
-    for setting, tables in enumerate((8, 16, 32)):
-        part = R.approximate_top_k(q, items, 10, tables=tables).withColumn("setting", F.lit(setting))
-        pairs = R.bucket_pairs(q, items, tables=tables).agg(F.count("*").alias("pairs")).withColumn("setting", F.lit(setting))
-        found, compared = (part, pairs) if found is None else (found.unionByName(part), compared.unionByName(pairs))
-    share = compared.crossJoin(sizes).select("setting", F.round(F.try_divide(F.col("pairs"), F.col("n") * F.col("m")), 6).alias("compared"))
+    book = A.learn(items, 64)
+    cells, n = A.index(items, book), q.count() * items.count()
+    found, shares = None, []
+    for setting, probes in enumerate((4, 8, 16, 32)):
+        part = A.approximate_top_k(q, items, cells, book, 10, probes).withColumn("setting", F.lit(setting))
+        found = part if found is None else found.unionByName(part)
+        shares.append((setting, round(A.compared(q, cells, book, probes) / max(n, 1), 6)))
+    share = spark.createDataFrame(shares, "setting int, compared double")
     return R.recall_sweep(exact, found, share.select("setting")).join(F.broadcast(share), "setting")
 
 
+def cell_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours from the four nearest of sixteen cells; the cells' centres are the first sixteen vectors, so SQL can follow."""
+    q, items = vector_requests(spark, sf_dir), vectors(spark, sf_dir)
+    few = items.where("item_id < 16").orderBy("item_id").collect()  # sixteen rows
+    centres = np.array([r["vec"] for r in few], float)
+    book = A.learn(items, 64, cells=16)
+    book = A.Codebook(centres / np.linalg.norm(centres, axis=1)[:, None], book.codes)
+    out = A.approximate_top_k(q, items, A.index(items, book), book, 10, 4, 100_000)
+    return out.select("request_id", "item_id", "rank", F.round("sim", 6).alias("sim"))
+
+
+CELL_SQL = f"""WITH c AS (SELECT vec_id AS cell, embedding AS centre FROM embeddings WHERE vec_id < 16), near AS (SELECT vec_id, embedding, cell, row_number() OVER (PARTITION BY vec_id ORDER BY round({_cos('embedding', 'centre')}, 12) DESC, cell) AS n FROM embeddings, c),
+s AS (SELECT q.vec_id AS request_id, i.vec_id AS item_id, round({_cos('q.embedding', 'i.embedding')}, 12) AS sim FROM near q JOIN near i ON i.cell = q.cell AND i.n = 1 WHERE q.vec_id % 100 = 0 AND q.n <= 4)
+SELECT request_id, item_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, item_id) AS INT) AS rank, round(sim, 6) AS sim FROM s QUALIFY rank <= 10"""
+
+
 def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 of each benchmark text against all documents, the ten best."""
     q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), "text")
@@ -411,7 +430,7 @@ RECENT_SQL = "SELECT conv_id, CAST(sum(len(text)) AS BIGINT) AS updated_at FROM
 
 QUERIES = {
     "budget_slice": (budget_slice, SLICE_SQL), "vector_top_k": (vector_top_k, TOPK_SQL), "reference_top_k": (reference_top_k, REFERENCE_SQL), "approximate_recall": (approximate_recall, None), "lexical_rank": (lexical_rank, BM25_SQL),
-    "candidate_predicates": (candidate_predicates, PREDICATE_SQL), "named_items": (named_items, NAMED_SQL), "colour_neighbours": (colour_neighbours, COLOUR_SQL), "anchor_labels": (anchor_labels, ANCHOR_SQL), "semantic_labels": (semantic_labels, SEMANTIC_SQL),
+    "cell_neighbours": (cell_neighbours, CELL_SQL), "candidate_predicates": (candidate_predicates, PREDICATE_SQL), "named_items": (named_items, NAMED_SQL), "colour_neighbours": (colour_neighbours, COLOUR_SQL), "anchor_labels": (anchor_labels, ANCHOR_SQL), "semantic_labels": (semantic_labels, SEMANTIC_SQL),
     "preferences": (preferences, PREFERENCE_SQL), "negations_and_ages": (negations_and_ages, None), "explanations": (explanations, None), "session_profiles": (session_profiles, PROFILE_SQL), "variant_funnel": (variant_funnel, FUNNEL_SQL), "live_funnel": (live_funnel, LIVE_SQL),
     "weight_sweep": (weight_sweep, SWEEP_SQL), "experiment_buckets": (experiment_buckets, BUCKET_SQL), "item_ratings": (item_ratings, RATING_SQL), "stale_rows": (stale_rows, STALE_SQL), "hashed_embedding": (hashed_embedding, EMBED_SQL),
     "latency_report": (latency_report, LATENCY_SQL), "latency_histogram": (latency_histogram, HISTOGRAM_SQL), "failure_report": (failure_report, FAILURE_SQL), "rejection_report": (rejection_report, REJECTION_SQL), "overall_report": (overall_report, OVERALL_SQL),
