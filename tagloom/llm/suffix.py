@@ -31,7 +31,7 @@ _TILE = 1 << 20
 _HOLD = 1 << 20
 _BATCH = 1_500_000
 #: Rows of a group that are sorted together; larger groups are divided.
-_GROUP = 20_000
+_GROUP = 10_000
 _EDGE = ["g", "core", "ref", "at", "open", "a", "b"]
 _EDGE_SCHEMA = "g long, core long, ref long, at long, open boolean, a binary, b binary"
 _powers: list[np.ndarray] = []
