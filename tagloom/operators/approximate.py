@@ -60,7 +60,7 @@ def _usable(df: DataFrame, key: str, dim: int) -> DataFrame:
     return df.where(F.col(key).isNotNull() & (F.size("vec") == dim)).select(F.col(key).cast("long").alias("id"), vec.alias("vec"))
 
 
-def learn(items: DataFrame, dim: int, cells: int = 64, parts: int = 8, codes: int = 64, sample: int = SAMPLE, rounds: int = 12, seed: int = 11) -> Codebook:
+def learn(items: DataFrame, dim: int, cells: int = 64, parts: int = 16, codes: int = 64, sample: int = SAMPLE, rounds: int = 12, seed: int = 11) -> Codebook:
     """A codebook of at most ``sample`` vectors, those of the smallest hashes of item_id; the residuals' codes are at most 256 a part."""
     rows = _usable(items, "item_id", dim).orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
     unit, bad = _units(rows.column("vec").combine_chunks(), dim) if rows.num_rows else (np.zeros((0, dim)), np.zeros(0, bool))

@@ -73,7 +73,7 @@ def approximate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = A.learn(items, 64)
     cells, n = A.index(items, book), q.count() * items.count()
     found, shares = None, []
-    for setting, probes in enumerate((4, 8, 16, 32)):
+    for setting, probes in enumerate((8, 16, 32, 48)):
         part = A.approximate_top_k(q, items, cells, book, 10, probes).withColumn("setting", F.lit(setting))
         found = part if found is None else found.unionByName(part)
         shares.append((setting, round(A.compared(q, cells, book, probes) / max(n, 1), 6)))
