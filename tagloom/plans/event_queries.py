@@ -13,7 +13,6 @@ from ..functions import intent as I
 from ..functions import text as P
 from ..operators import approximate as A
 from ..operators import conversation as C
-from ..operators import explain as E
 from ..operators import feedback as K
 from ..operators import lexical as X
 from ..operators import rank as W
@@ -135,8 +134,8 @@ def _named_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(k.alias("item_id"), brand.alias("brand"), item.alias("item"), F.when(F.col("p_size") % 3 > 0, F.array("p_name")).alias("notes"))
 
 
-def named_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The item that a customer's sentence names: by brand and name, inside a longer word, misspelt with its brand or alone, or not at all."""
+def named_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, text): a customer's sentence that names an item by brand and name, inside a longer word, misspelt with its brand or alone, or not at all."""
     items = _named_view(spark, sf_dir)
     n = read(spark, sf_dir, "part").agg(F.count("*").alias("n"))
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id")).join(F.broadcast(n)).withColumn("item_id", (F.col("request_id") * 7) % F.col("n") + 1)
@@ -146,7 +145,12 @@ def named_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 0, F.concat(F.lit("Similar to "), both)).when(kind == 1, F.concat(F.lit("my new"), "item", F.lit("ish scent")))
         .when(kind == 2, F.concat("brand", F.lit(" and "), broken(F.col("item")))).when(kind == 3, F.concat(F.lit("like "), broken(F.col("item")))).when(kind == 4, F.concat(F.lit("any "), "item")).otherwise("something fresh")
     )
-    return R.named_items(c.join(items, "item_id").select("request_id", text.alias("text")), items)
+    return c.join(items, "item_id").select("request_id", text.alias("text"))
+
+
+def named_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The item that a customer's sentence names, with the tier of the lookup that found it."""
+    return R.named_items(named_requests(spark, sf_dir), _named_view(spark, sf_dir))
 
 
 _grams = lambda x: f"flatten(list_transform(list_filter(string_split({x}, ' '), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: ('  ' || w || ' ')[i:i + 2])))"
@@ -220,16 +224,18 @@ def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the user turns of the conversations, led by a stated wish, ask for."""
     k = F.col("conv_id") % 6
     lead = F.element_at(F.array(*[F.lit(x) for x in ("fresh scent for the gym under 2000, no vanilla ", "my husband needs 8+ hours, beast mode, avoid oud ", "22yo guy, office and rain, under rs 500 ", "dupe for her wedding, woody and citrus ", "oily skin, subtle, I am twenty five ", "")]), (k + 1).cast("int"))
-    t = read(spark, sf_dir, "conversations").where("role = 'user'").withColumn("text", F.concat(lead, F.regexp_replace("text", r"[^\x20-\x7E]", "")))
+    t = read(spark, sf_dir, "conversations").where("role = 'user'").withColumn("text", F.concat(lead, "text"))
     p = I.preferences(F.col("text"))
     none = lambda c: F.coalesce(c, F.lit("none"))
     return t.select("conv_id", "turn", F.array_join(p["scenarios"], ",").alias("scenarios"), none(p["gender"]).alias("gender"), p["budget"].alias("budget"), p["hours_required"].alias("hours"), none(p["projection"]).alias("projection"), p["wants_longevity"].alias("lasting"), p["wants_alternative"].alias("alternative"), none(p["skin_type"]).alias("skin"), F.array_join(p["note_families"], ",").alias("families"))
 
 
+# RE2's word boundaries know ASCII only: letters beyond it become one word character before patterns are matched
+letters = lambda x: f"regexp_replace({x}, '[\\x{{C0}}-\\x{{24F}}\\x{{370}}-\\x{{1FFF}}\\x{{3040}}-\\x{{D7FF}}]', '_', 'g')"
 _hit = lambda ws: " OR ".join(f"contains(x, '{w}')" for w in ws)
 _budget = ", ".join(f"nullif(regexp_extract(x, '{p}', 1), '')" for p in I.BUDGET_PATTERNS)
 _fam = "MAP {" + ", ".join(f"'{k}': '{','.join(v)}'" for k, v in I.SCENT_FAMILIES.items()) + "}"
-PREFERENCE_SQL = f"""WITH t AS (SELECT conv_id, turn, lower(['fresh scent for the gym under 2000, no vanilla ', 'my husband needs 8+ hours, beast mode, avoid oud ', '22yo guy, office and rain, under rs 500 ', 'dupe for her wedding, woody and citrus ', 'oily skin, subtle, I am twenty five ', ''][conv_id % 6 + 1] || regexp_replace(text, '[^\\x20-\\x7E]', '', 'g')) AS y FROM conversations WHERE role = 'user'), u AS (SELECT *, y AS x, ' ' || y || ' ' AS px FROM t)
+PREFERENCE_SQL = f"""WITH t AS (SELECT conv_id, turn, lower(['fresh scent for the gym under 2000, no vanilla ', 'my husband needs 8+ hours, beast mode, avoid oud ', '22yo guy, office and rain, under rs 500 ', 'dupe for her wedding, woody and citrus ', 'oily skin, subtle, I am twenty five ', ''][conv_id % 6 + 1] || text) AS y FROM conversations WHERE role = 'user'), u AS (SELECT *, {letters('y')} AS x, ' ' || y || ' ' AS px FROM t)
 SELECT conv_id, turn, concat_ws(',', {', '.join(f"CASE WHEN {' OR '.join(f'''contains(px, '{w}')''' for w in ws)} THEN '{s}' END" for s, ws in I.SCENARIO_KEYWORDS.items())}) AS scenarios,
  CASE WHEN {_hit(I.UNISEX_PHRASES)} THEN 'unisex' WHEN regexp_matches(x, '{I.any_word(I.MALE_WORDS)}') AND NOT regexp_matches(x, '{I.any_word(I.FEMALE_WORDS)}') THEN 'male' WHEN regexp_matches(x, '{I.any_word(I.FEMALE_WORDS)}') AND NOT regexp_matches(x, '{I.any_word(I.MALE_WORDS)}') THEN 'female' ELSE 'none' END AS gender,
  CAST(replace(coalesce({_budget}), ',', '') AS DOUBLE) AS budget, CASE WHEN TRY_CAST(regexp_extract(x, '{I.HOURS}', 1) AS INT) BETWEEN 1 AND 24 THEN TRY_CAST(regexp_extract(x, '{I.HOURS}', 1) AS INT) END AS hours,
@@ -238,25 +244,6 @@ SELECT conv_id, turn, concat_ws(',', {', '.join(f"CASE WHEN {' OR '.join(f'''con
  array_to_string(list_sort(list_distinct(flatten(list_transform(regexp_extract_all(x, '\\b({'|'.join(I.SCENT_FAMILIES)})\\b', 1), lambda w: string_split({_fam}[w], ','))))), ',') AS families FROM u"""
 
 
-def negations_and_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unwanted terms and ages in all user turns; resolved budgets and performance."""
-    t = read(spark, sf_dir, "conversations").where("role = 'user'")
-    b = I.resolved_budget(I.budget_in_text(F.col("text")), F.when(F.col("turn") % 2 == 0, F.lit(90.0)), F.lit(None).cast("double"), F.col("conv_id") % 2 == 0)
-    perf = I.resolved_performance(F.lit(None).cast("int"), I.hours_required(F.col("text")), F.lit(6), F.lit(None).cast("string"), I.projection_preference(F.col("text")), F.lit("moderate"))
-    return t.select("conv_id", "turn", F.array_join(I.negated_terms(F.col("text")), ",").alias("negated"), I.age(F.col("text")).alias("age"), b["budget"].alias("budget"), b["status"].alias("status"), perf["hours"].alias("hours"), perf["projection"].alias("projection"), I.filled(I.skin_type(F.col("text")), F.lit("dry"), F.col("turn") > 0).alias("skin"))
-
-
-def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Criteria and texts of each request's three best items, made after the cut."""
-    best = W.top(scored(spark, sf_dir), W.quality_order(), 3)
-    shaped = best.withColumns({
-        "negated_hit": F.nullif(F.col("negated"), F.lit("none")), "identity": F.lit(0.0), "note_match": F.lit(0.4), "has_bridge": F.lit(False), "bridge_fit": F.lit(1.0), "matched_notes": F.slice("notes", 1, 1),
-        "matched_accords": P.strings(), "gender": F.col("wanted"), "skin_type": F.lit("dry"),
-    })
-    out = shaped.select("request_id", "rank", "item_id", E.criteria().alias("criteria"), E.explanation().alias("explanation"))
-    return out.select("request_id", "rank", "item_id", F.size("criteria").alias("n_criteria"), F.array_join(F.transform("criteria", lambda x: F.concat_ws("=", x["label"], x["status"])), "; ").alias("criteria"), "explanation")
-
-
 def session_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = K.session_profiles(session_events(spark, sf_dir), catalog(spark, sf_dir))
     return p.select("session_id", "n_clicks", F.round(F.col("mean_score") * F.col("n_clicks"), 2).alias("sum_score"), F.round(F.col("mean_price") * F.col("n_clicks"), 1).alias("sum_price"), "price_band", F.array_join("top_brands", ",").alias("brands"), F.array_join("top_accords", ",").alias("accords"), F.coalesce("gender", F.lit("none")).alias("gender"), (F.length(K.profile_text()) > 0).alias("has_text"))
@@ -431,7 +418,7 @@ RECENT_SQL = "SELECT conv_id, CAST(sum(len(text)) AS BIGINT) AS updated_at FROM
 QUERIES = {
     "budget_slice": (budget_slice, SLICE_SQL), "vector_top_k": (vector_top_k, TOPK_SQL), "reference_top_k": (reference_top_k, REFERENCE_SQL), "approximate_recall": (approximate_recall, None), "lexical_rank": (lexical_rank, BM25_SQL),
     "cell_neighbours": (cell_neighbours, CELL_SQL), "candidate_predicates": (candidate_predicates, PREDICATE_SQL), "named_items": (named_items, NAMED_SQL), "colour_neighbours": (colour_neighbours, COLOUR_SQL), "anchor_labels": (anchor_labels, ANCHOR_SQL), "semantic_labels": (semantic_labels, SEMANTIC_SQL),
-    "preferences": (preferences, PREFERENCE_SQL), "negations_and_ages": (negations_and_ages, None), "explanations": (explanations, None), "session_profiles": (session_profiles, PROFILE_SQL), "variant_funnel": (variant_funnel, FUNNEL_SQL), "live_funnel": (live_funnel, LIVE_SQL),
+    "preferences": (preferences, PREFERENCE_SQL), "session_profiles": (session_profiles, PROFILE_SQL), "variant_funnel": (variant_funnel, FUNNEL_SQL), "live_funnel": (live_funnel, LIVE_SQL),
     "weight_sweep": (weight_sweep, SWEEP_SQL), "experiment_buckets": (experiment_buckets, BUCKET_SQL), "item_ratings": (item_ratings, RATING_SQL), "stale_rows": (stale_rows, STALE_SQL), "hashed_embedding": (hashed_embedding, EMBED_SQL),
     "latency_report": (latency_report, LATENCY_SQL), "latency_histogram": (latency_histogram, HISTOGRAM_SQL), "failure_report": (failure_report, FAILURE_SQL), "rejection_report": (rejection_report, REJECTION_SQL), "overall_report": (overall_report, OVERALL_SQL),
     "active_segments": (active_segments, SEGMENT_SQL), "sliding_context": (sliding_context, CONTEXT_SQL), "follow_ups": (follow_ups, FOLLOW_SQL), "recent_conversations": (recent_conversations, RECENT_SQL),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_queries, event_queries, record_queries, search_queries
+from . import answer_queries, catalog_queries, event_queries, record_queries, search_queries
 
-_ALL = catalog_queries.QUERIES | event_queries.QUERIES | record_queries.QUERIES | search_queries.QUERIES
+_ALL = catalog_queries.QUERIES | event_queries.QUERIES | record_queries.QUERIES | search_queries.QUERIES | answer_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
