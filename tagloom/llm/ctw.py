@@ -41,7 +41,7 @@ _CHUNK = 16 << 20  # bytes of text whose words and grams are sent together
 _STEP = 2 << 20  # bytes of text that are coded at once
 _BUCKET = 8 << 20  # bytes of the corpus for each bucket
 _ROW = "bucket int, kind int, chunk long, slot int, distinct long, total long, payload binary"
-_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 _TYPES = {c: _ARROW[t] for c, t in (x.split() for x in _ROW.split(", "))}
 
@@ -325,11 +325,11 @@ def count_buckets(sent: DataFrame, buckets: int, depth: int) -> DataFrame:
 
 
 def lm_scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = _CHUNK, step: int = _STEP) -> DataFrame:
-    """One row per row of docs(doc_id, text, ..): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of docs(doc_id, text, ..): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Trained on the documents outside the held-out fold. ``score`` is the log10 probability of
     the lower-cased words with single blanks and an end; base_score that of the smoothed word
-    counts. Null and blank texts have the end alone. A null doc_id is in the fold of the
+    counts; bits_per_byte the code length of what is scored, its end included, in bits for each of its bytes. Null and blank texts have the end alone. A null doc_id is in the fold of the
     empty text; repeated rows each count and get equal scores; an empty table gives no rows.
     Texts are coded ``step`` bytes at a time, so that very long ones need no more memory than they have bytes. Other columns are ignored, whatever their names.
     """
@@ -398,6 +398,7 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = _CHUNK, st
         return pa.record_batch({
             "doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "n_tokens": b.column("n_tokens"), "n_known": pa.array(known),
             "train_tokens": pa.array(np.full(rows, n_train)), "base_score": pa.array(base), "score": pa.array(model),
+            "bits_per_byte": pa.array(model * -np.log2(10) / np.array([len(t) for t in texts])),
         })
 
     asked = merged.select(*_TYPES).unionByName(postings.select(*_TYPES))

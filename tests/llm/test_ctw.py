@@ -127,7 +127,7 @@ def test_scores_against_plain(spark):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(w in c for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
-        assert r.score < 0
+        assert r.score < 0 and r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / (len(b" ".join(ws[:-1])) + 1), rel=1e-9)
     known, odd = got[texts.index(max(texts[3:], key=len))], "qqq jjj vvv kkk"
     assert known.score / known.n_tokens > -3
     assert odd not in texts

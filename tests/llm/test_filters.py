@@ -1,11 +1,14 @@
+import math
 import random
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.llm import decontam, linededup
-from tagloom.llm.quality import keep_good, quality_scores
+from tagloom.llm.quality import PAIRS, features, fit_quality, keep_good, quality_scores
 from tagloom.llm.toxicity import toxicity_scores
 
 
@@ -132,6 +135,54 @@ def test_quality_on_held_out(spark):
     assert kept == {r.doc_id for r in rows if r.predicted}
 
 
+def plain_features(text):
+    """Character by character."""
+    raw = (text or "").encode()
+    words, n = raw.split(), max(1, len(raw))
+    m = max(1, len(words))
+    of = lambda ok: sum(1 for c in raw if ok(chr(c)) and c < 128)
+    upper, lower = of(str.isupper), of(str.islower)
+    marks = of(lambda c: c in ".,;:'\"-?()")
+    symbols = of(lambda c: 33 <= ord(c) < 127 and not c.isalnum()) - marks
+    repeats = sum(words[i] == words[i - 1] for i in range(1, len(words)))
+    base = [upper / max(1, upper + lower), min(4, symbols / m), min(4, marks / m), of(str.isdigit) / n, len(set(words)) / m, repeats / m, min(30, n / m) / 10]
+    base += [min(1, len(zlib.compress(raw, 1)) / n) if raw else 1.0, min(1, raw.count(b"\n") / m), math.log1p(len(words)) / 10]
+    return [*base, *(x**0.5 for x in base), *(x * x for x in base)]
+
+
+@pytest.mark.parametrize("text", [None, "", "  \n\n", "A a A a! $$ 12", "ÉTÉ été (x); y?", "w" * 200_000, "to to TO, " * 40_000 + "1\n" * 50])
+def test_quality_features_against_plain(text):
+    assert features(text) == pytest.approx(plain_features(text), rel=1e-12)
+
+
+def test_quality_pair_loss_is_near_its_least(spark):
+    """The same pairs by hand; Newton's method finds the least logistic loss of their feature differences."""
+    d, labels, truth, _ = corpus(spark, junk, "quality")
+    model = fit_quality(d, labels)
+    texts = {r.doc_id: r.text for r in d.collect()}
+    order = [r.doc_id for r in labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0).orderBy(F.xxhash64("doc_id")).collect()]
+    good, bad = ([np.array(plain_features(texts[i])) for i in order if truth[i] == y] for y in (1, 0))
+    draws = spark.range(max(len(good), len(bad)) * PAIRS).select("id", F.pmod(F.xxhash64("id"), F.lit(len(bad))).alias("j")).collect()
+    x = np.array([good[r.id % len(good)] - bad[r.j] for r in draws])
+    signed = x * np.where(np.arange(len(x)) % 2 == 0, 1, -1)[:, None]
+    penalty = 1e-4 * signed.var(axis=0, ddof=1)
+    loss = lambda w: np.logaddexp(0, -x @ w).mean() + 0.5 * (penalty * w * w).sum()
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(np.clip(x @ w, -500, 500)))
+        step = np.linalg.lstsq((x * (p * (1 - p))[:, None]).T @ x / len(x) + np.diag(penalty), x.T @ p / len(x) - penalty * w, rcond=None)[0]
+        size = 1.0
+        while loss(w + size * step) > loss(w) and size > 1e-9:
+            size /= 2
+        w = w + size * step
+    fitted = np.array(model.weights)
+    assert loss(w) <= loss(fitted) + 1e-9 and loss(fitted) - loss(w) < 0.02 < loss(0 * w)
+    scores = sorted(float(f @ fitted) for f in good + bad)
+    at = len(bad) / (len(good) + len(bad)) * (len(scores) - 1)
+    cut = scores[int(at)] + (at - int(at)) * (scores[min(int(at) + 1, len(scores) - 1)] - scores[int(at)])
+    assert model.threshold == pytest.approx(cut, rel=1e-6)
+
+
 def toxic(rnd):
     w = clean(rnd).split()
     for _ in range(3):
