@@ -124,3 +124,15 @@ def component_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     lowest = joined.groupBy("root").agg(F.min("id").alias("component_id"))
     return joined.join(lowest, "root").select("key", "component_id")
+
+
+def join_skewed(rows: DataFrame, names: DataFrame, counted: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` joined with ``names``, one row a key, by the columns ``by``; counted(by.., w) holds how many rows have each key.
+
+    Keys with over a thousandth of all rows, of which there are a thousand at most, are
+    broadcast; no key of the rows that are shuffled is hot. Null keys join with nothing.
+    """
+    total = counted.agg(F.sum("w")).first()[0] or 0
+    hot = F.broadcast(counted.where(F.col("w") * 1000 > F.lit(total)).select(*by))
+    few, rest = names.join(hot, by, "left_semi"), names.join(hot, by, "left_anti")
+    return rows.join(F.broadcast(few), by).unionByName(rows.join(hot, by, "left_anti").join(rest, by))

@@ -7,7 +7,8 @@ angle(x, p) <= r + t and angle(x, p) <= angle(x, own pivot) + 2 t, with r the
 cell's largest angle and t the angle of the threshold; it is replicated to those
 cells alone, and a pair of cells is compared in one of the two. Cells join
 independently; the members of a large cell are dealt into blocks. A block counts
-links and emits a spanning forest, not all pairs. Equal vectors are joined once.
+links and emits a spanning forest, not all pairs. Equal vectors are joined once:
+they are grouped by their entries, and each different vector gets a number of its own.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import component_ids, materialize, spanning_forest
+from .common import component_ids, join_skewed, materialize, spanning_forest
 
 SAMPLE = 4096
+#: Members of a cell beyond this are dealt into further blocks.
 CELL = 4096
+#: Bound on the pivots that a task holds; larger tables get larger cells, in more blocks.
 MAX_PIVOTS = 1024
 _SLACK = 1e-6
 
@@ -59,11 +62,15 @@ def _owned(home: np.ndarray, cells: int) -> np.ndarray:
     return (ahead > 0) & (2 * ahead <= cells) & ~tie
 
 
-def _links_of(reps: DataFrame, dim: int, threshold: float, cell: int) -> DataFrame:
-    """Rows (a, b, n): n null for an edge a-b, else n links more for node a; reps(key, vec array<double>, w)."""
-    size = reps.count()
-    count = max(1, min(MAX_PIVOTS, -(-size // cell)))
-    drawn = reps.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vec").toPandas()["vec"]
+def pivots_for(size: int) -> int:
+    """A quarter of the square root of the number of different vectors, and one, up to ``MAX_PIVOTS``."""
+    return min(MAX_PIVOTS, math.isqrt(size) // 4 + 1)
+
+
+def _links_of(reps: DataFrame, dim: int, threshold: float, cell: int, pivots: int | None) -> DataFrame:
+    """Rows (a, b, n): n null for an edge a-b, else n links more for node a; reps(key, k1, k2, vec array<double>, w)."""
+    count = pivots or pivots_for(reps.count())
+    drawn = reps.orderBy("k1", "k2").limit(SAMPLE).select("vec").toPandas()["vec"]
     pivots = choose_pivots(_unit(np.array([np.asarray(v, float) for v in drawn]).reshape(-1, dim)), count)
     reach = math.acos(threshold) + _SLACK
 
@@ -153,34 +160,34 @@ def _links_of(reps: DataFrame, dim: int, threshold: float, cell: int) -> DataFra
     return together.mapInArrow(join, "a long, b long, n long")
 
 
-def embedding_components(vectors: DataFrame, threshold: float = 0.9, cell: int = CELL) -> DataFrame:
+def embedding_components(vectors: DataFrame, threshold: float = 0.9, cell: int = CELL, pivots: int | None = None) -> DataFrame:
     """One row per row of vectors(vec_id, embedding, ..): vec_id, n_links, component_id, kept.
 
     Cosines are computed in double precision. Vectors that are null, empty or zero or hold null
     or non-finite components link with nothing, nor do vectors of different lengths. n_links
     counts other rows, so repeated rows link with each other. component_id is the smallest
     vec_id reachable; a row without vec_id takes part but names no component. Labels and
-    other columns are ignored; an empty table gives no rows.
+    other columns are ignored; an empty table gives no rows. ``cell`` and ``pivots`` (by
+    default ``pivots_for``) divide the work and change no result.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.coalesce(F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0), F.lit(False))
-    keyed = rows.withColumn("key", F.when(valid, F.xxhash64("vec")))
-    reps = materialize(
-        keyed.where("key is not null").groupBy("key", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("w")), "vectors"
-    )
+    name = [F.xxhash64("vec").alias("k1"), F.xxhash64(F.lit(1), "vec").alias("k2")]
+    different = rows.where(valid).groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"))
+    reps = materialize(different.select(F.monotonically_increasing_id().alias("key"), *name, "vec", "id", "w"), "vectors")
     found = None
     for (dim,) in sorted(tuple(r) for r in reps.select(F.size("vec")).distinct().collect()):
-        part = _links_of(reps.where(F.size("vec") == dim), dim, threshold, cell)
+        part = _links_of(reps.where(F.size("vec") == dim), dim, threshold, cell, pivots)
         found = part if found is None else found.unionByName(part)
     spark = vectors.sparkSession
     found = spark.createDataFrame([], "a long, b long, n long") if found is None else materialize(found, "links")
     named = component_ids(reps.select("key", "id"), found.where("n is null").select("a", "b"))
     degree = found.where("n is not null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
-    nodes = reps.select("key", "w").join(degree, "key", "left").join(named, "key").select("key", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), "component_id")
-    out = keyed.drop("vec").join(nodes, "key", "left").select(
-        "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    links = (F.coalesce("n", F.lit(0)) + F.col("w") - 1).cast("long").alias("n_links")
+    nodes = materialize(reps.drop("vec").join(degree, "key", "left").join(named, "key").select("k1", "k2", links, "component_id"), "nodes")
+    linked = join_skewed(rows.where(valid).select("vec_id", *name), nodes, reps.select("k1", "k2", "w"), ["k1", "k2"])
+    alone = rows.where(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.drop("k1", "k2").unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -11,15 +11,15 @@ from .test_near_duplicates import plain_components
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("cell", [4096, 40, 9])
-def test_range_join_against_brute_force(spark, cell):
+@pytest.mark.parametrize("cell, pivots", [(4096, None), (4096, 1), (40, 12), (9, 5)])
+def test_range_join_against_brute_force(spark, cell, pivots):
     rnd = np.random.default_rng(5)
     base = rnd.normal(size=(40, 8))
     x = np.concatenate([base, *(base[:12] + rnd.normal(size=(12, 8)) * s for s in (0.02, 0.1, 0.2, 0.3)), base[:3], base[5:6] * 1e-200])
     rows = [(i * 2 + 1, v.tolist(), i % 3) for i, v in enumerate(x)]
     odd = [(1000, None), (1001, []), (1002, [0.0] * 8), (1003, [None] + [1.0] * 7), (1004, [float("inf")] + [1.0] * 7), (1005, [float("nan")] * 8), (1006, [1.0] * 7)]
     df = spark.createDataFrame(rows + [(*o, 0) for o in odd], "vec_id long, embedding array<double>, n_links int").repartition(3)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_components(df, 0.9, cell).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_components(df, 0.9, cell, pivots).collect()}
     u = x / np.abs(x).max(1, keepdims=True)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     link = u @ u.T >= 0.9
@@ -37,6 +37,21 @@ def test_range_join_repeats_and_nothing(spark):
     assert embedding_components(df.limit(0)).count() == 0
 
 
+def test_range_join_with_a_hot_vector(spark):
+    """Half of the rows hold one vector; signed zeros are one entry; no row is lost at the join with its class."""
+    x = [[1.0, 0.0, 0.0]] * 600 + [[1.0, -0.0, 0.0]] * 2 + [[float(i), 1.0, 5000.0 - i] for i in range(500)] + [None] * 100
+    rows = [(i + 1, v) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_components(df, 0.999).collect()}
+    u = np.array([v for v in x if v])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    link = u @ u.T >= 0.999
+    comp = np.arange(len(u))
+    while (new := np.array([comp[row].min() for row in link])).tolist() != comp.tolist():
+        comp = new
+    assert got == {i + 1: (int(link[i].sum()) - 1, int(comp[i]) + 1) for i in range(len(u))} | {i + 1: (0, i + 1) for i in range(len(u), len(x))}
+
+
 def test_stages(spark, tmp_path):
     """Each stage on its own input: what goes is what its operator names; columns stay."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
