@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import component_ids, connected_components, materialize, spanning_forest, text_chunks
+from .common import component_ids, connected_components, join_skewed, materialize, spanning_forest, text_chunks
 from .jaccard import SHARE, SHINGLE, may_be_similar, parity_bits, shared_prefixes, shingle_hashes, similar_across, texts_in_chunks, verified
 
 BLOCK = 4096
@@ -161,10 +161,10 @@ def simhash_components(docs: DataFrame, threshold: int = 3, shingle: int = 3, bl
     with equal results. Other columns are ignored; an empty table gives no rows.
     """
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    nodes = materialize(prints.groupBy(F.col("fp").alias("key")).agg(F.min("doc_id").alias("id")), "nodes")
+    nodes = materialize(prints.groupBy(F.col("fp").alias("key")).agg(F.min("doc_id").alias("id"), F.count("*").alias("w")), "nodes")
     edges = links(nodes.select(F.col("key").alias("fp")), threshold, block)
-    named = component_ids(nodes, edges)
-    return prints.join(named, prints["fp"] == named["key"]).select(
+    named = materialize(component_ids(nodes.select("key", "id"), edges).withColumnRenamed("key", "fp"), "named")
+    return join_skewed(prints, named, nodes.select(F.col("key").alias("fp"), "w"), ["fp"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
