@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm import decontam, linededup
 from tagloom.llm.quality import PAIRS, features, fit_quality, keep_good, quality_scores
-from tagloom.llm.toxicity import toxicity_scores
+from tagloom.llm.toxicity import PARTS, STEMS, VARIANTS, VARIED_STEMS, learn_terms, toxicity_scores
 
 
 def words(rnd, n, pool):
@@ -190,6 +190,33 @@ def toxic(rnd):
     return " ".join(w)
 
 
+def test_learned_terms_against_plain_counts(spark):
+    """Words, stems and varied stems, by part: those that a part's model lists are counted outside the part."""
+    rnd = random.Random(3)
+    rows = []
+    for i in range(160):
+        y = int(i % 8 == 0)
+        w = clean(rnd).split() + ([f"grukhel{x}" for x in rnd.sample(POOL, 3)] + ["vexo"] if y else ["grukhel"])
+        rows.append((" ".join(w) if i else " ".join(w * 3000), y, rnd.randrange(PARTS)))
+    got = dict(learn_terms(spark.createDataFrame([*rows, ("", 0, 1)], "text string, y int, part int").repartition(3)))
+    counts = {}
+    for text, y, part in rows:
+        words = {w for w in text.lower().encode().split() if len(w) > 2}
+        terms = words | {b"^" + w[:k] for w in words for k in STEMS if len(w) >= k}
+        stems = {w[:k] for w in words for k in VARIED_STEMS if len(w) > k}
+        terms |= {b" " + s for s in stems if sum(w.startswith(s) and len(w) > len(s) for w in words) >= VARIANTS}
+        for t in terms:
+            counts.setdefault(t, []).append((part, y))
+    want = {}
+    for model in range(PARTS + 1):
+        p, n = (sum(q != model and y == of for _, y, q in rows) + (of == 0 and model != 1) for of in (1, 0))
+        for t, at in counts.items():
+            a, b = (sum(q != model and y == of for q, y in at) for of in (1, 0))
+            if a >= max(2 if t[:1] == b" " else 5, p / 500) and a / p / ((b + 1) / n) >= 8:
+                want[t] = want.get(t, 0) | 1 << model
+    assert got == want and {b"vexo", b" grukhe"} <= got.keys()
+
+
 def test_toxicity_on_held_out(spark):
     d, labels, truth, n = corpus(spark, toxic, "toxic")
     rows = toxicity_scores(d, labels).collect()
