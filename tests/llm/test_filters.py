@@ -183,6 +183,33 @@ def test_quality_pair_loss_is_near_its_least(spark):
     assert model.threshold == pytest.approx(cut, rel=1e-6)
 
 
+def test_quality_takes_all_pairs(spark):
+    """The slope of the loss over every pair of labelled documents, added up by hand, is zero at the fitted weights."""
+    d, labels, truth, _ = corpus(spark, junk, "quality")
+    texts = {r.doc_id: r.text for r in d.collect()}
+    flipped = {i: y ^ (zlib.crc32(b"%d" % i) % 11 == 1) for i, y in truth.items()}  # so that the kinds overlap
+    model = fit_quality(d, spark.createDataFrame(list(flipped.items()), "doc_id long, quality int"))
+    used = [i for i in flipped if zlib.crc32(str(i).encode()) % 5]
+    good, bad = (np.array([plain_features(texts[i]) for i in used if flipped[i] == y]) for y in (1, 0))
+    x = (good[:, None] - bad[None]).reshape(-1, good.shape[1])
+    spread, w = np.sqrt((x * x).mean(0)), np.array(model.weights)
+    p = 1 / (1 + np.exp(np.clip(x @ w, -500, 500)))
+    slope = np.divide(1e-4 * w * spread**2 - x.T @ p / len(x), spread, out=np.zeros_like(w), where=spread > 0)
+    assert 0.05 < np.logaddexp(0, -x @ w).mean() < 0.6 and np.abs(slope).max() < 2e-4
+
+
+def test_quality_takes_all_labels(spark):
+    """More labels than the 20,000 of which a sample was taken until round 3: the threshold is the quantile over all."""
+    rnd, n = random.Random(6), 27_000
+    texts = [" ".join(rnd.choice(["word,", "Word", "WORD$$"][i % 4 == 0 :]) for _ in range(rnd.randint(1, 25))) + "x" * rnd.randint(0, 90) for i in range(n)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    truth = [int(rnd.random() < (0.3 if i % 4 == 0 else 0.9)) for i in range(n)]
+    model = fit_quality(d, spark.createDataFrame(list(enumerate(truth)), "doc_id long, quality int"))
+    used = [i for i in range(n) if zlib.crc32(str(i).encode()) % 5]
+    scores = np.array([features(texts[i]) for i in used]) @ np.array(model.weights)
+    assert len(used) > 20_000 and model.threshold == pytest.approx(np.quantile(scores, 1 - np.mean([truth[i] for i in used])), rel=1e-9)
+
+
 def toxic(rnd):
     w = clean(rnd).split()
     for _ in range(3):
