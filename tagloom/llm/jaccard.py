@@ -24,6 +24,8 @@ from .common import materialize, text_chunks
 
 SHARE, SHINGLE = 0.8, 5
 _BUCKETS = 1 << 22
+#: Counts of this many buckets travel as one row, in as few bytes each as they need.
+_SLICE = 1 << 12
 _BITS = 1 << 24
 _CHUNK = 4 << 20
 _EDGES = ["a", "b"]
@@ -80,19 +82,29 @@ def may_be_similar(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFram
 
 
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of shingles that stand in more texts than chance gives, and in how many; only the order of shingles depends on it, so one text of four is looked at."""
+    """Buckets of shingles that stand in more texts than chance gives, and in how many of all texts; only the order of shingles depends on it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_BUCKETS, np.int64)
         for _, _, sets, _ in texts_in_chunks(batches, shingle):
             total += np.bincount((np.concatenate(sets) % np.uint64(_BUCKETS)).astype(np.int64), minlength=_BUCKETS)
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 1 << 16):
-            part = at[lo : lo + (1 << 16)]
-            yield pa.record_batch({"bucket": pa.array(part.astype(np.int32)), "n": pa.array(total[part])})
+        slices = total.reshape(-1, _SLICE)
+        for i in np.flatnonzero(slices.any(1)).tolist():
+            kind = np.min_scalar_type(int(slices[i].max()))
+            yield pa.record_batch({"slice": pa.array([i], pa.int32()), "n": pa.array([slices[i].astype(kind).tobytes()], pa.binary())})
 
-    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(4)) == 0)
-    counts = materialize(some.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "common")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, n in zip(b.column("slice").to_pylist(), b.column("n").to_pylist()):
+                n = np.frombuffer(n, f"u{len(n) // _SLICE}")
+                found[i] = found[i] + n if i in found else n.astype(np.int64)
+        for i, n in found.items():
+            at = np.flatnonzero(n)
+            yield pa.record_batch({"bucket": pa.array((at + i * _SLICE).astype(np.int32)), "n": pa.array(n[at])})
+
+    sliced = docs.select("text").mapInArrow(run, "slice int, n binary")
+    counts = materialize(sliced.repartition("slice").mapInArrow(add, "bucket int, n long"), "common")
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / _BUCKETS
     found = counts.where(F.col("n") > 1 + mean + 3 * math.sqrt(mean)).toArrow().sort_by("bucket")
     return found.column("bucket").to_numpy().astype(np.int64), found.column("n").to_numpy()

@@ -51,6 +51,26 @@ def test_components_against_brute_force(spark, monkeypatch, anchors, block):
     assert got == plain_components(ids, ts)
 
 
+def test_shingles_are_counted_over_all_texts(spark):
+    """Which buckets are common, and in how many texts, from every text and not from one in four; counts of one byte and of two meet."""
+    from collections import Counter
+
+    import xxhash
+
+    from tagloom.llm import jaccard
+
+    rnd = random.Random(2)
+    ts = [None, "", *(" ".join([f"p{rnd.randrange(8)}"] * 6 + (["all of them hold this"] if i % 2 else []) + [f"w{rnd.randrange(300)}" for _ in range(4)]) for i in range(900))]
+    df = spark.createDataFrame([(t,) for t in ts + ["q " * 9] * 70_000], "text string")
+    want = Counter(xxhash.xxh64_intdigest(x, 42) % jaccard._BUCKETS for t in ts for x in shingles(t))
+    want[xxhash.xxh64_intdigest(b"q q q q q", 42) % jaccard._BUCKETS] += 70_000
+    mean = sum(want.values()) / jaccard._BUCKETS
+    buckets, counts = jaccard._common(df.repartition(5), 5)
+    got = dict(zip(buckets.tolist(), counts.tolist()))
+    assert got == {k: n for k, n in want.items() if n > 1 + mean + 3 * mean**0.5} and {450, 70_000} <= set(got.values())
+    assert [len(x) for x in jaccard._common(df.limit(0), 5)] == [0, 0]
+
+
 def test_pairs_of_far_fingerprints_go(spark):
     """Similar texts whose 3-word fingerprints differ in more than three bits."""
     from tagloom.llm.simhash import fingerprint
