@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import written
-from .blocks import HELD, _units
+from .blocks import HELD, _units, top_k
 
 #: Vectors that a codebook is learned on, at most.
 SAMPLE = 20_000
@@ -103,6 +103,27 @@ def index(items: DataFrame, book: Codebook) -> DataFrame:
     return _placed(items, "item_id", book, 1, True)
 
 
+def cell_top_k(requests: DataFrame, items: DataFrame, centroids: np.ndarray, k: int, probes: int) -> DataFrame:
+    """As ``blocks.top_k`` without filters, over all items of each request's ``probes`` nearest cells; in their exact order, none is left out by its code."""
+    dim = centroids.shape[1]
+    sent = requests.sparkSession.sparkContext.broadcast(Codebook(centroids, np.zeros((1, 1, dim))))
+
+    def placed(df: DataFrame, key: str, many: int) -> DataFrame:
+        def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                unit, bad = _units(batch.column("vec"), dim)
+                cells = sent.value.cells(unit, many).tolist()
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array([[] if b else c for c, b in zip(cells, bad)], pa.list_(pa.int32()))], ["id", "vec", "cells"])
+
+        rows = _usable(df, key, dim).mapInArrow(assign, "id long, vec array<double>, cells array<int>")
+        return rows.select(F.col("id").alias(key), "vec", F.explode("cells").alias("cell"))
+
+    # a cell stands as amount and as audience: blocks lie in the order of the first, and only those that share the second meet
+    cell, name = F.col("cell").cast("double"), F.col("cell").cast("string")
+    asked = placed(requests, "request_id", probes).select("request_id", "vec", cell.alias("budget"), name.alias("wanted"))
+    return top_k(asked, placed(items, "item_id", 1).select("item_id", "vec", cell.alias("price"), name.alias("gender")), k)
+
+
 def _pairs(requests: DataFrame, cells: DataFrame, book: Codebook, probes: int) -> DataFrame:
     asked = _placed(requests, "request_id", book, probes, False)
     return cells.join(asked.select("cell", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "cell")
