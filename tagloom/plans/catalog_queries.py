@@ -12,6 +12,7 @@ from ..operators import merge as D
 from ..operators import quality as Q
 from ..operators import rank as W
 from ..operators import score as S
+from .shared import written
 from .tables import CATALOG_SQL, REQUESTS_SQL, catalog, read, requests, sql_map
 
 
@@ -266,24 +267,46 @@ SELECT request_id, array_to_string(sa, ',') AS accords, concat_ws('. ', text, {_
 # ---- scoring: every customer's request against the items that the customer has ordered
 
 
+#: What tag fits read of an item and of a request.
+_ITEM_KIND, _REQUEST_KIND = ("accords", "notes", "gender"), ("wanted", "scenarios", "families", "bracket")
+
+
+def _kind(columns: tuple[str, ...]):
+    """128 bits that name the columns' values."""
+    return F.unhex(F.md5(F.to_json(F.struct(*columns)).cast("binary")))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with the distinct items of their customer's orders: as many pairs as order lines at most."""
-    items = catalog(spark, sf_dir).withColumns({"longevity": X.longevity_score(F.col("accords"), F.col("notes")), "sillage": X.sillage_score(F.col("accords"), F.col("notes"))})
+    items = catalog(spark, sf_dir).withColumns({"longevity": X.longevity_score(F.col("accords"), F.col("notes")), "sillage": X.sillage_score(F.col("accords"), F.col("notes")), "item_kind": _kind(_ITEM_KIND)})
+    asked = requests(spark, sf_dir).withColumnRenamed("gender", "wanted").withColumn("bracket", X.age_bracket(F.col("age"))).withColumn("request_kind", _kind(_REQUEST_KIND))
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("item_id"))
-    ordered = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("request_id")).join(lines, "o_orderkey").select("request_id", "item_id").distinct()
-    return ordered.join(requests(spark, sf_dir).withColumnRenamed("gender", "wanted"), "request_id").join(items, "item_id")
+    # the pairs are read for their kinds and for themselves
+    ordered = written(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("request_id")).join(lines, "o_orderkey").select("request_id", "item_id").distinct(), "ordered")
+    return ordered.join(asked, "request_id").join(items, "item_id")
 
 
 _PAIRS = """pairs AS (SELECT r.* EXCLUDE (gender), r.gender AS wanted, c.* FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey) o
  JOIN requests r ON r.request_id = o_custkey JOIN scores c ON c.item_id = l_partkey)"""
 
 
+def _tag_fits(df: DataFrame) -> DataFrame:
+    """Fits that compare tags, made once for each pair of kinds that occurs: as many as pairs at most."""
+    c = F.col
+    kinds = df.groupBy("item_kind", "request_kind").agg(*[F.first(x).alias(x) for x in (*_ITEM_KIND, *_REQUEST_KIND)], F.first("age").alias("age"))
+    made = kinds.select("item_kind", "request_kind", *[x.alias(n) for n, x in {
+        "leaning": S.gender_leaning(c("gender"), c("wanted"), c("accords"), c("notes")), "scenario_fit": S.scenario_fit(c("accords"), c("notes"), c("scenarios")),
+        "age_fit": S.age_fit(c("accords"), c("age")), "family_fit": S.family_fit(c("accords"), c("notes"), c("families")),
+        "negated": F.coalesce(S.negated_hit(c("accords"), c("notes"), F.array(F.lit("oud"), F.lit("rose"))), F.lit("none")),
+    }.items()])
+    return df.join(written(made, "tag_fits"), ["item_kind", "request_kind"]).drop("item_kind", "request_kind", "bracket")
+
+
 def fits(df: DataFrame) -> DataFrame:
     c = F.col
-    return df.withColumns({
-        "price_fit": S.price_fit(c("price"), c("budget"), c("request_id") % 2 == 0), "gender_fit": S.gender_fit(c("gender"), c("wanted")), "leaning": S.gender_leaning(c("gender"), c("wanted"), c("accords"), c("notes")),
-        "scenario_fit": S.scenario_fit(c("accords"), c("notes"), c("scenarios")), "longevity_fit": S.longevity_fit(c("longevity"), c("wants_longevity"), c("hours")), "projection_fit": S.projection_fit(c("sillage"), c("projection")),
-        "age_fit": S.age_fit(c("accords"), c("age")), "family_fit": S.family_fit(c("accords"), c("notes"), c("families")), "negated": F.coalesce(S.negated_hit(c("accords"), c("notes"), F.array(F.lit("oud"), F.lit("rose"))), F.lit("none")),
+    return _tag_fits(df).withColumns({
+        "price_fit": S.price_fit(c("price"), c("budget"), c("request_id") % 2 == 0), "gender_fit": S.gender_fit(c("gender"), c("wanted")),
+        "longevity_fit": S.longevity_fit(c("longevity"), c("wants_longevity"), c("hours")), "projection_fit": S.projection_fit(c("sillage"), c("projection")),
     })
 
 
@@ -368,7 +391,9 @@ SELECT request_id, item_id, rank FROM (SELECT request_id, item_id, CAST(row_numb
 
 
 def diversified_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = W.ranked(scored(spark, sf_dir), W.quality_order())
+    slim = scored(spark, sf_dir).select("request_id", "item_id", "brand", "accords", "has_reference", "score")
+    # the page reads the ranks several times
+    r = written(W.ranked(slim, W.quality_order()).drop("score"), "ranked")
     return W.diversified(r, 5, X.dominant_tag(F.col("accords")), 1, 1).select("request_id", "item_id", "rank")
 
 
